@@ -124,7 +124,7 @@ class Restorer:
         for w, n in counts.items():
             held.update(dict.fromkeys(w, n))
         self.chars = {c for c, n in held.items() if n >= CHAR_DOCS} | {c.upper() for c, n in held.items() if n >= CHAR_DOCS} | SIGNS
-        self.likely = self.chars | set(tables("web")[1])
+        self.likely = self.chars | set(tables("web")[1]) | _LINES
         self.utf8 = self._automaton(utf8_patterns())
         self.words = self._automaton(word_patterns(counts))
 
