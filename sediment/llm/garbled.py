@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sediment.runtime import spread
+
 #: Encodings that UTF-8 is often mistaken for; "web" is Windows-1252 with the C1 controls at its undefined bytes.
 WRONG_FOR_UTF8 = ("web", "latin-1", "cp437", "cp850", "cp852", "mac_roman", "cp1251", "cp1250", "koi8-r", "cp866", "iso8859-15")
 #: (true encoding, wrong encoding) of texts in one byte a character.
@@ -335,6 +337,8 @@ def restore(df: DataFrame, key: str, text: str, counts: dict[str, int] | None =
     kind = dict(df.dtypes)[key]
     rows = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias(key), F.col(text).cast("string").alias("__text"))
 
+    rows = spread(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = restorer_of(shared.value)
         for batch in batches:

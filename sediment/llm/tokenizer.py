@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sediment.runtime import spread
+
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the public pre-splitting pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -261,6 +263,7 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k.js
     """
     shared = shared_vocabulary(df.sparkSession, tokenizer, folder)
     rows = df.select(F.col(text).cast("string").alias("__text"), F.col(key).alias(key), *carry)
+    rows = spread(rows)
     kind = dict(df.dtypes)[key]
     passed = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in (key, *carry))
 
