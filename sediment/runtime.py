@@ -44,3 +44,9 @@ def small_or_not(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in enough partitions for work that is bound by Python: shuffled round-robin only if it has fewer than two a core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(3 * cores)
