@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sediment.runtime import spread
 
-#: Encodings that UTF-8 is often mistaken for; "web" is Windows-1252 with the C1 controls at its undefined bytes.
+#: Encodings that UTF-8 is often mistaken for; "web" is Windows-1252; Windows encodings have the C1 controls at their undefined bytes.
 WRONG_FOR_UTF8 = ("web", "latin-1", "cp437", "cp850", "cp852", "mac_roman", "cp1251", "cp1250", "koi8-r", "cp866", "iso8859-15")
 #: (true encoding, wrong encoding) of texts in one byte a character.
 SINGLE_BYTE = tuple(
@@ -53,7 +53,7 @@ ODDS = 3
 ROUNDS = 4
 #: Punctuation and signs that ordinary texts hold (a fixed list).
 SIGNS = set("“”‘’„‚–—…°±×µ§€£½¼¾²³≤≥≠«»‹›•→©®™№¿¡ ­")
-_WORD = r"[\p{L}\p{M}'’]*[^\x00-\x7f\P{L}][\p{L}\p{M}'’]*"
+_WORD = r"[\p{L}\p{M}]*(?:['’]?[^\x00-\x7f\P{L}]|’\p{L})(?:[\p{L}\p{M}]|['’]\p{L})*"
 
 
 def decode_byte(b: int, encoding: str) -> str | None:
@@ -65,7 +65,7 @@ def decode_byte(b: int, encoding: str) -> str | None:
     try:
         return bytes([b]).decode(encoding)
     except UnicodeDecodeError:
-        return None
+        return chr(b) if encoding in ("cp1250", "cp1251") else None
 
 
 _high: dict[str, tuple[dict[int, str], dict[str, int]]] = {}
@@ -96,25 +96,30 @@ def swap(text: str, have: str, want: str) -> str | None:
 def utf8_patterns() -> dict[str, list[tuple[str, str]]]:
     """garbled sequence -> [(wrong encoding, character)]; without letters whose sequence is three Cyrillic letters, which right texts hold."""
     out: dict[str, list[tuple[str, str]]] = {}
+    # signs of the wrong encodings themselves, which texts garbled twice hold
+    twice = SIGNS | {c for x in ("web", "cp1251", "cp866", "koi8-r") for c in tables(x)[1] if not c.isalpha()}
     for x in WRONG_FOR_UTF8:
         to = tables(x)[0]
         for first, last in BLOCKS:
             for point in range(first, last + 1):
                 seq = [to.get(b) for b in chr(point).encode()]
-                if None not in seq and not (len(seq) > 2 and chr(point) not in SIGNS and all("Ѐ" <= c <= "ӿ" for c in seq)):
+                if None not in seq and not (len(seq) > 2 and chr(point) not in twice and all("Ѐ" <= c <= "ӿ" for c in seq)):
                     out.setdefault("".join(seq), []).append((x, chr(point)))
     return out
 
 
 def word_patterns(counts: dict[str, int]) -> dict[str, list[tuple[str, str, str]]]:
-    """garbled word -> [(true encoding, wrong encoding, word)], for words of three letters or more."""
+    """garbled word -> [(true encoding, wrong encoding, word)], for words of three letters or more.
+
+    A form that is plain but for signs at its ends could be a right word in quotes and is left out.
+    """
     out: dict[str, list[tuple[str, str, str]]] = {}
     for true, wrong in SINGLE_BYTE:
         for w, n in counts.items():
             if len(w) < 3:
                 continue
             g = swap(w, true, wrong)
-            if g is not None and g != w and n >= ODDS * counts.get(g, 0) and n >= ODDS * counts.get(g.lower(), 0):
+            if g is not None and g != w and not g.strip(_EDGES).isascii() and n >= ODDS * counts.get(g, 0) and n >= ODDS * counts.get(g.lower(), 0):
                 out.setdefault(g, []).append((true, wrong, w))
     return out
 
@@ -261,7 +266,7 @@ class Restorer:
             for v, (a, b, t) in zip(turned, tokens, strict=True):
                 if v is None or v == t or (self._known(t, min) > self._known(v)):
                     continue
-                if (set(t) - _ASCII <= SIGNS or set(t) - _ASCII <= _LINES) and not self._known(v) and not any(s + a <= p < s + b for p in places):
+                if (set(t) - _ASCII <= SIGNS or set(t) - _ASCII <= _LINES) and not (_LATIN.search(t) and self._known(v)) and not any(s + a <= p < s + b for p in places):
                     continue
                 if not self._known(v) and not set(v) - _ASCII <= self.chars:
                     continue
@@ -289,6 +294,8 @@ class Restorer:
 
 _ASCII = {chr(i) for i in range(128)}
 _LINES = {chr(i) for i in range(0x2500, 0x2580)}
+_EDGES = "".join(SIGNS | {chr(i) for i in range(128) if not chr(i).isalnum()})
+_LATIN = re.compile("[A-Za-z]")
 _OPEN, _CLOSE = set("“\"‘'«„`‹"), set("”\"’'»“`›")
 #: Letters that are words by themselves in some language (a fixed list).
 _WORD_LETTERS = set("àáéèêóòôíìåöäüúùßияівокусєї")
@@ -304,7 +311,7 @@ def _quoted(text: str, s: int, e: int) -> bool:
 
 
 def frequent_words(df: DataFrame, text: str, words: int = WORDS, docs: int = WORD_DOCS) -> dict[str, int]:
-    """The words with letters outside ASCII that most rows hold, with their numbers of rows; counted over all rows.
+    """The words with letters or apostrophes outside ASCII that most rows hold, with their numbers of rows; counted over all rows.
 
     Collected to the driver: at most `words` of them.
     """
