@@ -236,7 +236,7 @@ def _walk(df: DataFrame, doc: str, path: str, deep: bool) -> DataFrame:
             value = None if v is None else ("1" if v else "0") if isinstance(v, bool) else v if isinstance(v, str) else _dumps(v)
             me = len(out)
             out.append((key, value, kind, None if nested else value, me, parent, full))
-            if nested and (deep or parent is None and full == path and key is _TOP):
+            if nested and deep:
                 below(v, me, full)
 
         def below(v, me, full):
@@ -252,8 +252,6 @@ def _walk(df: DataFrame, doc: str, path: str, deep: bool) -> DataFrame:
             add(None, x, None, path)
         return out
 
-    _TOP = object()
-
     @F.pandas_udf(_ROW)
     def run(docs: pd.Series) -> pd.Series:
         return pd.Series([rows(t) for t in docs])
