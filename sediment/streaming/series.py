@@ -215,13 +215,23 @@ class Series:
 def append_stream(stream: DataFrame, series: Series, checkpoint: str):
     """Feeds a streaming frame into a series batch by batch. Late rows are never dropped: they go to their own partition at the next seal.
 
-    A batch repeated after a failure is recognised by its number in the newest manifest's comment.
+    A batch repeated after a failure isn't taken twice: its number is kept with the series' options, in the generation of its rows.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        if df.isEmpty():
+        name = f"{series.name}.sealed"
+        entry = series.lake._entry(name)
+        if entry["options"].get("batch", -1) >= number:
             return
-        series.append(df)
+        series.lake.begin()
+        try:
+            if not df.isEmpty():
+                series.append(df)
+            series.lake._staged[name] = entry | {"options": entry["options"] | {"batch": number}}
+            series.lake.commit(f"append batch {number} to {series.name}")
+        except BaseException:
+            series.lake.rollback()
+            raise
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
