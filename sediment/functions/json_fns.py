@@ -204,7 +204,7 @@ def object_(**fields: Column) -> Column:
 
 def quote(x: Column) -> Column:
     """JSON text of a value; null for NULL."""
-    return F.coalesce(F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("null"))
+    return F.coalesce(F.regexp_extract(F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("null"))
 
 
 def each(df: DataFrame, doc: str, path: str = "$") -> DataFrame:

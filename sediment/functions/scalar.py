@@ -174,7 +174,7 @@ def char(*codes: Column) -> Column:
 
 def unicode(x: Column) -> Column:
     """Code point of the first character; NULL for an empty text."""
-    return F.when(F.length(x) > 0, F.conv(F.hex(F.encode(F.substring(x, 1, 1), "UTF-32BE")), 16, 10).cast("bigint"))
+    return F.when(F.length(x) > 0, F.ascii(x).cast("bigint"))
 
 
 def hex_text(x: Column) -> Column:

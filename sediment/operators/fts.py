@@ -21,7 +21,7 @@ def folded(text: Column) -> Column:
         t = F.replace(t, F.lit(a), F.lit(b))
     accents = "àáâãäåāăąçćĉčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżž"
     plain = "".join(_base(c) for c in accents)
-    return F.translate(t, accents, plain)
+    return F.regexp_replace(F.translate(t, accents, plain), r"\p{M}+", "")
 
 
 def _base(c: str) -> str:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sediment.plans import training
+from sediment.plans import reference, training
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(training.QUERIES)
+    return dict(reference.QUERIES) | training.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(training.ORACLE)
+    return dict(reference.ORACLE) | training.ORACLE
