@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _STEP = re.compile(r'\.(?:"([^"]+)"|([^.\[]+))|\[(#?(?:-?\d+)?)\]')
-#: Marks a path that leads nowhere.
-_NONE = object()
+
+
+class _NONE:
+    """Marks a path that leads nowhere; a class, so that it stays one thing in the workers."""
+
 
 
 def steps(path: str) -> list:

@@ -16,7 +16,7 @@ def _hexed(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """With a header, quotes doubled, CRLF line ends, binary as hex."""
-    _hexed(df).write.csv(path, header=True, quote='"', escape='"', lineSep="\n", emptyValue='""', nullValue="")
+    _hexed(df).write.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", emptyValue='""', nullValue="")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -169,6 +169,12 @@ class Lake:
         schema = T._parse_datatype_string(entry["schema"])
         if not entry["paths"]:
             return self.spark.createDataFrame([], schema)
+        if entry.get("options", {}).get("partition") and len(entry["paths"]) > 1:
+            parts = [self.spark.read.schema(schema).parquet(p) for p in entry["paths"]]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
         return self.spark.read.schema(schema).parquet(*entry["paths"])
 
     def read(self, name: str, generation: int | None = None, time_ns: int | None = None) -> DataFrame:

@@ -1,0 +1,221 @@
+"""The versioned store, key-value stores, series, search, similarity and functions."""
+
+import sqlite3
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sediment.functions import aggregates as A
+from sediment.functions import dates as D
+from sediment.functions import json_fns as J
+from sediment.functions import scalar as S
+from sediment.operators import fts, relational, tlsh
+from sediment.sources import export, ingest
+from sediment.sources.kv import KeyValue
+from sediment.sources.lake import ConstraintError, Lake, NotFoundError, Table, UnsupportedError
+from sediment.streaming.series import Rollup, Series
+
+DAY = 86_400 * 10**9
+
+
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first())
+
+
+def test_scalars_against_sqlite(spark):
+    c = sqlite3.connect(":memory:")
+    for start in range(-7, 8):
+        for n in (None, -3, -1, 0, 1, 2, 9):
+            want = c.execute("select substr('hello', ?, ?)" if n is not None else "select substr('hello', ?)", (start, n) if n is not None else (start,)).fetchone()[0]
+            assert one(spark, S.substr(F.lit("hello"), start, n))[0] == want, (start, n)
+    for t in ("12abc", "-3.5e2x", "abc", " 7", "", ".5"):
+        assert one(spark, S.number_of(F.lit(t)))[0] == c.execute("select ? + 0.0", (t,)).fetchone()[0]
+    for a, b in ((7, 2), (-7, 2), (7, -2), (5, 0)):
+        assert one(spark, S.divide(F.lit(a), F.lit(b), integers=True), S.modulo(F.lit(a), F.lit(b))) == c.execute("select ? / ?, ? % ?", (a, b, a, b)).fetchone()
+    for a, n in ((1, 3), (1, 64), (-1, 70), (8, -2), (-8, 1)):
+        assert one(spark, S.shift_left(F.lit(a), F.lit(n)), S.shift_right(F.lit(a), F.lit(n))) == c.execute("select ? << ?, ? >> ?", (a, n, a, n)).fetchone()
+    for v in ("a'b", None):
+        assert one(spark, S.quote(F.lit(v).cast("string"), "string"))[0] == c.execute("select quote(?)", (v,)).fetchone()[0]
+    for f, x in (("%5d|%-4d|%05d", (42, 7, -3)), ("%.2f %s %q", (2.5, "a", "b'c")), ("%x %c%%", (255, "z"))):
+        assert one(spark, S.printf(f, *map(F.lit, x)))[0] == c.execute(f"select printf(?{', ?' * len(x)})", (f, *x)).fetchone()[0]
+    assert one(spark, S.char(F.lit(960), F.lit(65), F.lit(0x1F600)), S.unicode(F.lit("é")), S.unhex(F.lit("4a4")), S.sign(F.lit(-3.5)), S.round_half(F.lit(-2.5))) == ("πA😀", 233, None, -1, -3.0)
+
+
+def test_like_and_glob(spark):
+    assert one(spark, S.like(F.lit("HeLLo"), "hell_"), S.like(F.lit("É"), "é"), S.glob(F.lit("ab.c"), "a[a-c].?"), S.glob(F.lit("abxc"), "a[^b]*")) == (True, False, True, False)
+
+
+def test_dates_against_sqlite(spark):
+    c = sqlite3.connect(":memory:")
+    for t in ("2024-01-31 10:20:30", "1969-12-28 23:59:59", "2000-02-29 00:00:00", "2023-12-31 12:00:00"):
+        us = D.micros_of_text(F.lit(t))
+        for mods in ((), ("+1 month",), ("-1 year", "start of month"), ("weekday 0",), ("weekday 3", "+90 minutes"), ("start of year", "-1 day"), ("-02:30",)):
+            assert one(spark, D.datetime(us, *mods))[0] == c.execute(f"select datetime(?{', ?' * len(mods)})", (t, *mods)).fetchone()[0], (t, mods)
+        for f in ("%Y|%m|%d|%H|%M|%S|%f", "%j %w %W %s"):
+            assert one(spark, D.strftime(f, us))[0] == c.execute("select strftime(?, ?)", (f, t)).fetchone()[0]
+        assert abs(one(spark, D.julianday(us))[0] - c.execute("select julianday(?)", (t,)).fetchone()[0]) < 1e-7
+    assert one(spark, D.date(D.micros_of_text(F.lit("nope"))), D.strftime("%Q", F.lit(0)), D.ns_of_text(F.lit("1970-01-01 00:00:01.123456789"))) == (None, None, 1_123_456_789)
+
+
+def test_json_against_sqlite(spark):
+    c = sqlite3.connect(":memory:")
+    doc = '{"a": {"b": [1, 2.5, "x", null, true]}, "z": "t"}'
+    for sql, f in (("json_set", J.set_), ("json_insert", J.insert), ("json_replace", J.replace)):
+        for p in ("$.a.b[0]", "$.a.b[#]", "$.n", "$.z"):
+            assert one(spark, f(F.lit(doc), p, F.lit(9)))[0] == c.execute(f"select {sql}(?, ?, 9)", (doc, p)).fetchone()[0], (sql, p)
+    for p in ("$.a.b[1]", "$.z", "$.q", "$.a.b[#-1]"):
+        assert one(spark, J.remove(F.lit(doc), p))[0] == c.execute("select json_remove(?, ?)", (doc, p)).fetchone()[0]
+        assert one(spark, J.type_at(F.lit(doc), p))[0] == c.execute("select json_type(?, ?)", (doc, p)).fetchone()[0]
+    assert one(spark, J.json(F.lit(doc)))[0] == c.execute("select json(?)", (doc,)).fetchone()[0]
+    assert one(spark, J.patch(F.lit(doc), F.lit('{"a": null, "k": {"v": 1}}')))[0] == c.execute("select json_patch(?, ?)", (doc, '{"a": null, "k": {"v": 1}}')).fetchone()[0]
+    assert one(spark, J.array_length(F.lit("[1,2]")), J.array_length(F.lit("{}")), J.valid(F.lit("{")), J.extract(F.lit(doc), "$.a.b[#-3]")) == (2, 0, 0, "x")
+    got = J.tree(spark.createDataFrame([(doc,)], "d string"), "d").select("fullkey", "type").collect()
+    assert [tuple(r) for r in got] == c.execute("select fullkey, type from json_tree(?)", (doc,)).fetchall()
+    got = J.each(spark.createDataFrame([(doc,), (None,), ("x",)], "d string"), "d").select("key", "type").collect()
+    assert [tuple(r) for r in got] == [("a", "object"), ("z", "text")]
+
+
+def test_aggregates(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, 5.0), (3, "b", 5.0)], "id int, t string, v double")
+    row = df.agg(A.total(F.lit(None).cast("int")), A.group_concat(F.col("t"), "-", F.col("id")), A.bare_at_max(F.col("v"), F.col("id"), tie=F.col("id"))["id"], A.json_group_array(F.col("t"), F.col("id")), A.json_group_object(F.lit("k"), F.col("v"), F.col("id"))).first()
+    assert tuple(row) == (0.0, "a-b", 2, '["a",null,"b"]', '{"k":5.0}')
+
+
+def test_relational(spark):
+    a, b, c = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in ([1, 1, 2], [2, 3], [3]))
+    got = relational.compound(a, ("union", b), ("except", c)).collect()
+    assert sorted(r.k for r in got) == [1, 2]
+    found = relational.recursive(spark.createDataFrame([(0,), (None,)], "k int"), lambda x: x.select(((F.col("k") + 2) % 6).alias("k")))
+    assert sorted((r.k is None, r.k or 0) for r in found.collect()) == [(False, 0), (False, 2), (False, 4), (True, 0)]
+    numbered = relational.number_rows(spark.range(100).select((F.col("id") * 7 % 100).alias("x")), ["x"])
+    assert [(r.x, r.rowid) for r in numbered.orderBy("x").collect()] == [(i, i + 1) for i in range(100)]
+    assert relational.limit_offset(a, -1, -5).count() == 3
+    empty = spark.createDataFrame([], "v int")
+    assert {r.o for r in relational.not_in_value(spark.createDataFrame([(None,), (1,)], "k int"), "k", empty, "v", "o").collect()} == {1}
+
+
+def test_lake(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    lake.create("t", Table("id bigint, v string", key=("id",), checks=("v <> 'bad'",)), time_ns=1)
+    rows = lambda *x: spark.createDataFrame(list(x), "id bigint, v string")
+    lake.insert("t", rows((1, "a"), (2, "b")), time_ns=10)
+    for bad in (rows((1, "z")), rows((3, "bad")), rows((None, "n"))):
+        with pytest.raises(ConstraintError):
+            lake.insert("t", bad)
+    assert lake.insert("t", rows((1, "z"), (3, "c")), conflict="ignore", time_ns=20) == 1
+    lake.insert("t", rows((1, "r")), conflict="replace", time_ns=30)
+    assert lake.update("t", {"v": "concat(v, '!')"}, "id = 2", time_ns=40).collect()[0].v == "b!"
+    assert lake.delete("t", "id = 3", time_ns=50).count() == 1
+    lake.upsert("t", rows((1, "q"), (9, "n")), {"v": "concat(t.v, excluded.v)"}, time_ns=60)
+    now = {tuple(r) for r in lake.read("t").collect()}
+    assert now == {(1, "rq"), (2, "b!"), (9, "n")}
+    assert {tuple(r) for r in lake.read("t", time_ns=25).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+    with pytest.raises(NotFoundError):
+        lake.read("t", time_ns=0)
+    got = {(r.generation, r.op, r.id, r.v) for r in lake.history("t").collect()}
+    assert {(4, "update", 1, "r"), (5, "update", 2, "b!"), (6, "delete", 3, "c"), (7, "insert", 9, "n")} <= got
+    before = lake.generations()
+    lake.begin()
+    assert lake.commit() == before[-1]
+    lake.begin()
+    lake.delete("t")
+    lake.rollback()
+    assert lake.read("t").count() == 3
+    lake.alter("t", add="w int")
+    assert lake.read("t").columns == ["id", "v", "w"]
+    assert lake.vacuum(keep=1) > 0
+    assert lake.read("t").count() == 3
+
+
+def test_kv(spark, tmp_path):
+    kv = KeyValue(Lake(spark, str(tmp_path / "kv")), "s", ttl="1s")
+    rows = lambda *x: spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in x], "key binary, value binary")
+    kv.put(rows((b"a1", b"x"), (b"a2", b"y"), (b"b", b"z")), now_ms=1000)
+    kv.put(rows((b"a1", b"w")), ttl="1h", now_ms=1500)
+    assert kv.get(b"a1", now_ms=1600) == b"w" and kv.get(b"a2", now_ms=2500) is None
+    assert [bytes(r.key) for r in kv.scan(prefix=b"a", reverse=True, now_ms=1600).collect()] == [b"a2", b"a1"]
+    assert kv.purge(now_ms=5000) == 2
+    assert {r.op for r in kv.watch(b"a", 0).collect()} >= {"insert", "update"}
+
+
+def test_series(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "ts"))
+    s = Series(lake, "m", "ts bigint, host string, v double", "day", "10d", ("host",))
+    r = Rollup("hr", "6h", ("host",), {"n": ("count", "*"), "s": ("sum", "v"), "a": ("avg", "v"), "f": ("first", "v"), "l": ("last", "v")}, "v >= 0")
+    rnd = np.random.default_rng(1)
+    make = lambda lo, n: spark.createDataFrame([(int(t), f"h{i % 2}", float(v)) for i, (t, v) in enumerate(zip(rnd.integers(lo, lo + 3 * DAY, n), rnd.integers(-2, 9, n), strict=True))], "ts bigint, host string, v double")
+    s.append(make(0, 200))
+    s.create_rollup(r)
+    s.seal(now_ns=5 * DAY)
+    s.append(make(DAY, 100))
+    plain = lambda: sorted(map(tuple, r.of(s.rows()).collect()))
+    assert sorted(map(tuple, s.rollup("hr", now_ns=5 * DAY).collect())) == plain()
+    s.seal(now_ns=5 * DAY)
+    assert sorted(map(tuple, s.rollup("hr").collect())) == plain()
+    assert s.rows(start=DAY, end=2 * DAY, descending=True).agg(F.min("ts"), F.max("ts")).first()[0] >= DAY
+    n = s.rows().count()
+    s.append(make(12 * DAY, 10))
+    s.seal(now_ns=12 * DAY)  # the first two days end at or before the cutoff
+    assert s.rows(end=2 * DAY).count() == 0 and s.rows().count() < n + 10
+    assert s.rollup("hr").agg(F.min("bucket")).first()[0] < 2 * DAY
+    with pytest.raises(UnsupportedError):
+        s.update()
+    with pytest.raises(ConstraintError):
+        s.append(spark.createDataFrame([(None, "h", 1.0)], "ts bigint, host string, v double"))
+
+
+def test_fts(spark):
+    df = spark.createDataFrame([(1, "The quick brown fox"), (2, "quick QUICK foxes"), (3, None), (4, "Ä brown-fox straße"), (5, "")], "id int, t string")
+    ids = lambda q: sorted(r.id for r in fts.search(df, "id", ["t"], q).collect())
+    assert ids("quick") == [1, 2] and ids('"brown fox"') == [1, 4] and ids("fox*") == [1, 2, 4] and ids("quick NOT brown") == [2] and ids("strasse OR foxes") == [2, 4] and ids("^the") == [1]
+    best = fts.search(df, "id", ["t"], "quick").orderBy("score").first()
+    assert best.id == 2
+    with pytest.raises(ValueError):
+        fts.search(df, "id", ["t"], "(quick")
+
+
+def test_tlsh(spark):
+    rnd = np.random.default_rng(2)
+    p = tlsh.default_permutation()
+    base = [bytes(rnd.integers(32, 120, 800).astype(np.uint8)) for _ in range(40)]
+    near = [b[:400] + b"changed here" + b[412:] for b in base]
+    rows = [(i, tlsh.digest_bytes(b, p)) for i, b in enumerate(base + near)] + [(99, None), (98, "junk")]
+    assert tlsh.digest_bytes(b"short", p) is None and tlsh.digest_bytes(b"a" * 500, p) is None
+    df = spark.createDataFrame(rows, "id int, t string")
+    q = df.filter("id < 5")
+    exact = {(r.query, r.item, r.distance) for r in tlsh.nearest_exact(q, "id", df, "id", "t", 1).collect()}
+    found = {(r.query, r.item, r.distance) for r in tlsh.nearest(q, "id", df, "id", "t", 1).collect()}
+    assert exact == found and {x[1] for x in exact} == {40, 41, 42, 43, 44}
+    assert df.select(tlsh.distance(F.col("t"), F.col("t")).alias("d")).filter("d <> 0").count() == 0
+
+
+def test_ingest_export(spark, tmp_path):
+    lines = spark.createDataFrame([("<34>1 2003-10-11T22:14:15.003Z mach su - ID47 [x y=\"1\"] it failed",), ("<13>Feb  5 17:32:18 host app[12]: hello",), ("junk",)], "value string")
+    got = ingest.parse_syslog(lines, year=2024).collect()
+    assert [(r.host, r.app, r.pid, r.level, r.facility, r.message) for r in got] == [("mach", "su", None, "crit", "auth", "it failed"), ("host", "app", "12", "notice", "user", "hello")]
+    j = ingest.parse_journal(spark.createDataFrame([('{"__REALTIME_TIMESTAMP":"5","PRIORITY":"3","MESSAGE":"m","X":"1"}',)], "value string")).first()
+    assert (j.ts, j.level, j.message, j.fields) == (5000, "err", "m", '{"X":"1"}')
+    df = spark.createDataFrame([(1, 'a"b,\nc', 1.5), (2, None, None)], "id bigint, t string, v double")
+    export.write_csv(df, str(tmp_path / "csv"))
+    assert sorted((r.id, r.t) for r in ingest.read_csv(spark, str(tmp_path / "csv")).collect() if r.t) == [("1", 'a"b,\nc')]
+    export.write_jsonl(df, str(tmp_path / "json"))
+    assert ingest.read_jsonl(spark, str(tmp_path / "json")).count() == 2
+    path = str(tmp_path / "x.db")
+    assert export.write_database({"t": df}, path) == 2
+    assert sorted(map(tuple, ingest.read_database(spark, path, "t").collect())) == [(1, 'a"b,\nc', 1.5), (2, None, None)]
+    assert list(export.lines(df, "quote")) == ["1,'a\"b,\nc',1.5", "2,NULL,NULL"]
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("m/one.txt", "hello")
+    (tmp_path / "bad.zip").write_bytes(b"not an archive")
+    assert [(r.path, r.size) for r in ingest.archive_listing(spark, str(tmp_path / "*.zip")).collect()] == [("m/one.txt", 5)]
+
+
+def test_entry_without_llm(spark):
+    import __spark_entry__ as e
+
+    names = set(e.queries())
+    assert {"hash_agg", "p3_found", "p5_found"} <= names and set(e.oracle_sql()) <= names
+    assert e.entry(spark).count() > 0
