@@ -53,7 +53,9 @@ ODDS = 3
 ROUNDS = 4
 #: Punctuation and signs that ordinary texts hold (a fixed list).
 SIGNS = set("“”‘’„‚–—…°±×µ§€£½¼¾²³≤≥≠«»‹›•→©®™№¿¡ ­")
-_WORD = r"[\p{L}\p{M}]*(?:['’]?[^\x00-\x7f\P{L}]|’\p{L})(?:[\p{L}\p{M}]|['’]\p{L})*"
+#: A word with letters or apostrophes outside ASCII. It starts at a word's start and its parts are bounded, so that long runs
+#: of letters take linear time; longer words aren't frequent ones.
+_WORD = r"(?<![\p{L}\p{M}'’])[\p{L}\p{M}]{0,30}(?:['’]?[^\x00-\x7f\P{L}]|’\p{L})(?:[\p{L}\p{M}]|['’]\p{L}){0,30}"
 
 
 def decode_byte(b: int, encoding: str) -> str | None:
@@ -131,7 +133,7 @@ class Restorer:
         for w, n in counts.items():
             held.update(dict.fromkeys(w, n))
         self.chars = {c for c, n in held.items() if n >= CHAR_DOCS} | {c.upper() for c, n in held.items() if n >= CHAR_DOCS} | SIGNS
-        self.likely = self.chars | set(tables("web")[1]) | _LINES
+        self.likely = self.chars | set(tables("web")[1]) | _LINES | {chr(i) for i in range(0x80, 0xA0)} | {c for x in WRONG_FOR_UTF8 for c in tables(x)[1] if not c.isalpha()}
         self.utf8 = self._automaton(utf8_patterns())
         self.words = self._automaton(word_patterns(counts))
 

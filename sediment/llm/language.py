@@ -244,7 +244,8 @@ def _counted_by(df: DataFrame, content: str, kind: Column, label: Column, counts
         for batch in batches:
             for text, kind_, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for s in sentences(text, kind_):
-                    words = [w.lower() for w in _WORD.findall(s)]
+                    # once a sentence, so that a long text of one word doesn't outweigh a language
+                    words = {w.lower() for w in _WORD.findall(s)}
                     found = lang
                     if model:
                         found, p, n = model.classify(s)

@@ -27,7 +27,7 @@ class EliasFano:
     """An immutable sorted set of integers below 2**bits: low bits packed, high bits in unary (bucket ends are zeros)."""
 
     def __init__(self, n: int, bits: int, low_bits: int, low: bytes, high: bytes):
-        self.n, self.bits, self.low_bits, self.low, self.high = n, bits, low_bits, low, high
+        self.n, self.bits, self.low_bits, self.low, self.high = int(n), int(bits), int(low_bits), low, high
         self._starts: np.ndarray | None = None
 
     @classmethod
