@@ -193,10 +193,14 @@ class Restorer:
         return bool(other) and any(x.isalpha() and ord(x) > 127 for x in around)
 
     def _box(self, text: str, s: int, e: int, c: str) -> bool:
-        """Whether a run of box-drawing characters is a drawing, not an ordinary letter inside a word."""
+        """Whether a run of box-drawing characters is a drawing: not a word, nor an ordinary letter inside one or a Cyrillic one alone."""
         if not all("─" <= x <= "▟" for x in text[s:e]):
             return False
-        return not (set(c) <= self.chars and (text[s - 1 : s].isalpha() or text[e : e + 1].isalpha()))
+        if not set(c) <= self.chars:
+            return True
+        if text[s - 1 : s].isalpha() or text[e : e + 1].isalpha():
+            return False
+        return not (c.isalpha() and (len(c) > 1 or c >= "Ѐ"))
 
     def _from_utf8(self, text: str) -> tuple[str, bool]:
         x, spans = self._spans(text)
