@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sediment.runtime import cut, spread
+
 BANDS = 16
 
 
@@ -126,36 +128,93 @@ def nearest(queries: DataFrame, queries_key: str, items: DataFrame, items_key: s
     return _top(scored, q, d, n)
 
 
+#: Distance of two-bit buckets, and of the length and quartile bytes; in floats, whose sums are exact at this size.
+_BUCKETS = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]], np.float32)
+_BYTES = np.arange(256)
+_LENGTHS = np.where((_r := _ring(_BYTES[:, None], _BYTES, 256)) <= 1, _r, _r * 12).astype(np.float32)
+_RATIOS = sum(np.where((_q := _ring((_BYTES[:, None] >> s) & 15, (_BYTES >> s) & 15, 16)) <= 1, _q, (_q - 1) * 12) for s in (0, 4)).astype(np.float32)
+#: Queries compared at once.
+CHUNK = 256
+
+
+def _codes(body: np.ndarray) -> np.ndarray:
+    return ((body[:, 3:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(len(body), 128)
+
+
+def _steps(body: np.ndarray) -> np.ndarray:
+    """The distances of each bucket to the four values, a column per digest, for `_between`."""
+    return _BUCKETS[_codes(body)].reshape(len(body), 512).T
+
+
+def _between(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Distances of all pairs of two lists of digests; the buckets' part is a matrix product."""
+    out = np.eye(4, dtype=np.float32)[_codes(a)].reshape(len(a), 512) @ steps
+    x, y = _swapped(a[:, :3]), _swapped(b[:, :3])
+    out += _LENGTHS[x[:, 1]][:, y[:, 1]]
+    out += _RATIOS[x[:, 2]][:, y[:, 2]]
+    out += x[:, :1] != y[:, 0]
+    return out
+
+
+class _Nearest:
+    """The digests met so far that are as near as the (n + 1)-th of each query or nearer, so that ties are settled by key later."""
+
+    def __init__(self, ask: np.ndarray, n: int):
+        self.ask, self.n = ask, n
+        self.edge = np.full(len(ask), np.inf, np.float32)
+        self.who, self.far, self.body = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, 35), np.uint8)
+
+    def add(self, body: np.ndarray, steps: np.ndarray) -> None:
+        far = _between(self.ask, body, steps)
+        new = np.isinf(self.edge)
+        if new.any() and len(body) > self.n:
+            self.edge[new] = np.partition(far[new], self.n, axis=1)[:, self.n]
+        who, at = np.nonzero(far <= self.edge[:, None])
+        if not len(who):
+            return
+        who, far, body = np.concatenate([self.who, who]), np.concatenate([self.far, far[who, at]]), np.concatenate([self.body, body[at]])
+        order = np.lexsort((far, who))
+        who, far, body = who[order], far[order], body[order]
+        start = np.searchsorted(who, np.arange(len(self.ask) + 1))
+        full = np.flatnonzero(np.diff(start) > self.n)
+        self.edge[full] = far[start[full] + self.n]
+        keep = far <= self.edge[who]
+        self.who, self.far, self.body = who[keep], far[keep], body[keep]
+
+
 def nearest_exact(queries: DataFrame, queries_key: str, items: DataFrame, items_key: str, digest: str, n: int = 10, block: int = 2_000_000) -> DataFrame:
-    """As nearest, against all items: each task keeps the best of its own items for the stated, bounded set of queries.
+    """As nearest, against all items: each task keeps the best of its own items for a block of the queries.
 
-    The queries' distinct digests go to every task; more than `block` bytes of them are refused.
+    The queries' distinct digests go to the tasks in blocks of about `block` bytes, one pass over the items for each; the work is queries times items.
     """
     d = items.select(F.col(items_key).alias("item"), body_of(F.col(digest)).alias("body")).filter("body is not null")
     q = queries.select(F.col(queries_key).alias("query"), body_of(F.col(digest)).alias("qbody")).filter("qbody is not null")
-    asked = [r[0] for r in q.select("qbody").distinct().limit(block // 35 + 1).collect()]
-    if len(asked) * 35 > block:
-        raise ValueError("too many queries for an exact scan; use nearest")
-    table = np.frombuffer(b"".join(bytes(x) for x in asked), np.uint8).reshape(-1, 35)
-    shared = items.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int32), np.zeros((0, 35), np.uint8))] * len(ask)
-        for batch in batches:
-            body = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 35)
-            for i in range(len(ask)):
-                dist = np.concatenate([best[i][0], distances(ask[i], body)])
-                both = np.concatenate([best[i][1], body])
-                # every digest as near as the n-th is kept, so that ties are settled by key later
-                edge = np.partition(dist, n)[n] if len(dist) > n else dist.max(initial=0)
-                keep = dist <= edge
-                best[i] = dist[keep], both[keep]
-        for i, (dist, body) in enumerate(best):
-            if len(dist):
-                yield pa.RecordBatch.from_arrays([pa.array([ask[i].tobytes()] * len(dist), pa.binary()), pa.array([b.tobytes() for b in body], pa.binary()), pa.array(dist.astype(np.int32))], names=["qbody", "body", "distance"])
-
-    scored = d.select("body").distinct().mapInArrow(run, "qbody binary, body binary, distance int")
+    asked = cut(q.select("qbody").distinct())
+    blocks = max(1, -(-asked.count() * 35 // block))
+    once = d.select("body").distinct()
+    once = spread(once if blocks == 1 else cut(once))
+
+    def scan(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ask = shared.value
+            best = [_Nearest(ask[i : i + CHUNK], n) for i in range(0, len(ask), CHUNK)]
+            for batch in batches:
+                if batch.num_rows and best:
+                    body = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 35)
+                    steps = _steps(body)
+                    for b in best:
+                        b.add(body, steps)
+            for b in best:
+                yield pa.RecordBatch.from_arrays([pa.array([b.ask[i].tobytes() for i in b.who], pa.binary()), pa.array([x.tobytes() for x in b.body], pa.binary()), pa.array(b.far.astype(np.int32))], names=["qbody", "body", "distance"])
+
+        return once.mapInArrow(run, "qbody binary, body binary, distance int")
+
+    scored = None
+    for i in range(blocks):
+        mine = asked.filter(F.pmod(F.xxhash64("qbody"), F.lit(blocks)) == i).collect()
+        table = np.frombuffer(b"".join(bytes(r[0]) for r in mine), np.uint8).reshape(-1, 35)
+        part = scan(items.sparkSession.sparkContext.broadcast(table))
+        scored = part if scored is None else scored.unionByName(part)
     return _top(scored, q, d, n)
 
 

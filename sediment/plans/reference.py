@@ -607,11 +607,11 @@ def _digests(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tlsh_nearest(spark, d):
-    """The ten nearest digests, by band index, of every one whose id is divisible by 50."""
+    """The ten nearest of all digests of every one whose id is divisible by 50."""
     from sediment.operators import tlsh
 
     x = _digests(spark, d)
-    return tlsh.nearest(x.filter("id % 50 = 0"), "id", x, "id", "tlsh", 10, level=1)
+    return tlsh.nearest_exact(x.filter("id % 50 = 0"), "id", x, "id", "tlsh", 10)
 
 
 @query()

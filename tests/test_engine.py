@@ -190,6 +190,27 @@ def test_tlsh(spark):
     assert df.select(tlsh.distance(F.col("t"), F.col("t")).alias("d")).filter("d <> 0").count() == 0
 
 
+def test_tlsh_nearest_of_all(spark, tmp_path):
+    from sediment.plans import reference
+
+    rnd = np.random.default_rng(4)
+    bodies = rnd.integers(0, 256, (900, 35)).astype(np.uint8)
+    spark.createDataFrame([("a", f"p{i}", "T1" + b.tobytes().hex().upper()) for i, b in enumerate(bodies)], "archive string, path string, tlsh string").write.parquet(f"{tmp_path}/zx_files.parquet")
+    rows = {r.id: np.frombuffer(bytes.fromhex(r.tlsh[2:]), np.uint8) for r in reference._digests(spark, str(tmp_path)).collect()}
+    keys = sorted(rows)
+    table = np.stack([rows[k] for k in keys])
+
+    def brute(asked, n):
+        return {(q, k, d) for q in asked for d, k in sorted((int(d), k) for d, k in zip(tlsh.distances(rows[q], table), keys, strict=True) if k != q)[:n]}
+
+    got = {(r.query, r.item, r.distance) for r in reference.QUERIES["tlsh_nearest"](spark, str(tmp_path)).collect()}
+    assert len(got) >= 50 and got == brute([k for k in keys if k % 50 == 0], 10)
+    x = reference._digests(spark, str(tmp_path))
+    some = tlsh.nearest_exact(x.filter("id % 3 = 0"), "id", x, "id", "tlsh", 4, block=35 * 40)  # several blocks of queries
+    assert {(r.query, r.item, r.distance) for r in some.collect()} == brute([k for k in keys if k % 3 == 0], 4)
+    assert tlsh.nearest_exact(x.filter("false"), "id", x, "id", "tlsh", 4).count() == 0
+
+
 def test_ingest_export(spark, tmp_path):
     lines = spark.createDataFrame([("<34>1 2003-10-11T22:14:15.003Z mach su - ID47 [x y=\"1\"] it failed",), ("<13>Feb  5 17:32:18 host app[12]: hello",), ("junk",)], "value string")
     got = ingest.parse_syslog(lines, year=2024).collect()
