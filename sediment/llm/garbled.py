@@ -47,7 +47,7 @@ BLOCKS = ((0x80, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2DD), (0x384,
 WORDS, WORD_DOCS = 6_000, 3
 #: A letter is ordinary if the frequent words that hold it stand in so many documents together.
 CHAR_DOCS = 20
-#: A word counts as garbled only if its restored form is so many times as frequent as it is itself.
+#: A word counts as garbled only if its restored form is so many times as frequent as it is itself, or of another script (`foreign`).
 ODDS = 3
 #: A text can be garbled so many times over.
 ROUNDS = 4
@@ -110,6 +110,20 @@ def utf8_patterns() -> dict[str, list[tuple[str, str]]]:
     return out
 
 
+def _scripts(word: str) -> set[str]:
+    """Latin, Cyrillic and so on of a word's letters, by block."""
+    return {"latin" if c < "\u0370" or "\u1e00" <= c <= "\u1eff" or "\u2071" <= c <= "\u209c" else "cyrillic" if "\u0400" <= c <= "\u052f" else "other" for c in word if c.isalpha()}
+
+
+def foreign(form: str, word: str) -> bool:
+    """Whether a form can't be right beside the word it decodes to, however frequent it is.
+
+    It mixes scripts and the word doesn't, or a word of Cyrillic letters alone has become one of signs and letters outside ASCII.
+    """
+    f, w = _scripts(form), _scripts(word)
+    return len(w) == 1 and (len(f) > 1 or (w == {"cyrillic"} and f <= {"latin"} and not any("a" <= c <= "z" for c in form.lower())))
+
+
 def word_patterns(counts: dict[str, int]) -> dict[str, list[tuple[str, str, str]]]:
     """garbled word -> [(true encoding, wrong encoding, word)], for words of three letters or more.
 
@@ -121,7 +135,12 @@ def word_patterns(counts: dict[str, int]) -> dict[str, list[tuple[str, str, str]
             if len(w) < 3:
                 continue
             g = swap(w, true, wrong)
-            if g is not None and g != w and not g.strip(_EDGES).isascii() and n >= ODDS * counts.get(g, 0) and n >= ODDS * counts.get(g.lower(), 0):
+            if g is None or g == w or g.strip(_EDGES).isascii():
+                continue
+            held = max(counts.get(g, 0), counts.get(g.lower(), 0))
+            if held and foreign(w, g):  # w itself is the garbled one
+                continue
+            if foreign(g, w) or n >= ODDS * held:
                 out.setdefault(g, []).append((true, wrong, w))
     return out
 
@@ -267,10 +286,10 @@ class Restorer:
                 continue
             tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(unit) if not m[0].isascii()]
             turned = [swap(t, wrong, true) for _, _, t in tokens]
-            if not n and not all(v is not None and not self._known(t, min) and (self._known(v) or set(v) - _ASCII <= self.chars) and v != t for v, (_, _, t) in zip(turned, tokens, strict=True)):
+            if not n and not all(v is not None and (foreign(t, v) or not self._known(t, min)) and (self._known(v) or set(v) - _ASCII <= self.chars) and v != t for v, (_, _, t) in zip(turned, tokens, strict=True)):
                 continue
             for v, (a, b, t) in zip(turned, tokens, strict=True):
-                if v is None or v == t or (self._known(t, min) > self._known(v)):
+                if v is None or v == t or (self._known(t, min) > self._known(v) and not foreign(t, v)) or (self._known(t, min) and foreign(v, t)):
                     continue
                 if (set(t) - _ASCII <= SIGNS or set(t) - _ASCII <= _LINES) and not (_LATIN.search(t) and self._known(v)) and not any(s + a <= p < s + b for p in places):
                     continue
@@ -317,11 +336,12 @@ def _quoted(text: str, s: int, e: int) -> bool:
 
 
 def frequent_words(df: DataFrame, text: str, words: int = WORDS, docs: int = WORD_DOCS) -> dict[str, int]:
-    """The words with letters or apostrophes outside ASCII that most rows hold, with their numbers of rows; counted over all rows.
+    """The words with letters or apostrophes outside ASCII that most texts hold, with their numbers of texts; counted over all texts, equal ones once.
 
     Collected to the driver: at most `words` of them.
     """
-    found = df.select(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({_WORD})"), F.lit(1)), lambda w: F.lower(w))).alias("w"))
+    # a text's copies would outweigh what other texts hold; they are told by the hash, so that no text is shuffled
+    found = df.select(F.md5(F.col(text)).alias("h"), F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({_WORD})"), F.lit(1)), lambda w: F.lower(w))).alias("w")).filter(F.size("w") > 0).distinct()
     counted = found.select(F.explode("w").alias("w")).groupBy("w").count().filter(F.col("count") >= docs)
     return {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(words).collect()}
 

@@ -233,6 +233,26 @@ def test_garbled_rows(spark):
     assert garbled.restore(df.filter(F.lit(False)), "doc_id", "text").count() == 0
 
 
+def test_garbled_copies(spark):
+    good = "Ключ от тома читает блоки в неверном порядке и каталог"
+    copied = garbled.swap(good, "cp1251", "web")
+    latin = "La última página está vacía aquí"
+    rows = [*((i, f"{good} {i}") for i in range(4)), *((100 + i, copied) for i in range(40)), *((200 + i, f"{latin} {i}") for i in range(4)), *((300 + i, garbled.swap(latin, "web", "mac_roman")) for i in range(40))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert garbled.frequent_words(df, "text", docs=1)[garbled.swap("тома", "cp1251", "web")] == 1  # equal texts count once
+    got = {(r.doc_id, r.restored_md5) for r in garbled.restore(df, "doc_id", "text").collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {(r, md5(t)) for r, t in [*((100 + i, good) for i in range(40)), *((300 + i, latin) for i in range(40))]}
+
+
+def test_garbled_form_more_frequent_than_its_word():
+    words = "ключ тома читает блоки неверном порядке".split()
+    counts = dict.fromkeys(words, 50) | {garbled.swap(w, "cp1251", "web").lower(): 900 for w in words}
+    r = garbled.Restorer(counts)
+    t = "Ключ тома читает блоки в неверном порядке."
+    assert r.restore(garbled.swap(t, "cp1251", "web")) == (t, True, False) and r.restore(t)[1] is False
+
+
 def test_queries_are_registered():
     from sediment.llm.queries import oracle_sql, queries
 
