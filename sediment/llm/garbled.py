@@ -9,6 +9,7 @@ through again. Characters that are lost for good (U+FFFD) can't be restored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.runtime import spread
+from sediment.runtime import cut, spread
 
 #: Encodings that UTF-8 is often mistaken for; "web" is Windows-1252; Windows encodings have the C1 controls at their undefined bytes.
 WRONG_FOR_UTF8 = ("web", "latin-1", "cp437", "cp850", "cp852", "mac_roman", "cp1251", "cp1250", "koi8-r", "cp866", "iso8859-15")
@@ -49,6 +50,9 @@ WORDS, WORD_DOCS = 6_000, 3
 CHAR_DOCS = 20
 #: A word counts as garbled only if its restored form is so many times as frequent as it is itself, or of another script (`foreign`).
 ODDS = 3
+#: For words without a pattern: a restored form is taken if its letters are so many nats likelier in all than those that stand there, and so
+#: many on average; where trigrams are counted in fewer than RARE of the texts, their number hardly matters.
+LETTER_NATS, LETTER_MEAN, RARE = 8.0, 2.5, 1e-4
 #: A text can be garbled so many times over.
 ROUNDS = 4
 #: Punctuation and signs that ordinary texts hold (a fixed list).
@@ -146,8 +150,10 @@ def word_patterns(counts: dict[str, int]) -> dict[str, list[tuple[str, str, str]
 
 
 class Restorer:
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
+    def __init__(self, counts: dict[str, int], letters: dict[str, int] | None = None):
+        """letters: trigrams around letters outside ASCII with their numbers of texts (`letter_counts`); without them only patterns are used."""
+        self.counts, self.letters = counts, letters or {}
+        self.floor = 0.5 + RARE * self.letters.get("", 0)
         held: Counter = Counter()
         for w, n in counts.items():
             held.update(dict.fromkeys(w, n))
@@ -300,6 +306,54 @@ class Restorer:
         out.append(text[at:])
         return "".join(out), changed
 
+    # -- words without a pattern ------------------------------------------------------------------------------------
+
+    def _weight(self, token: str, i: int) -> float:
+        """Log of how often the character stands between its neighbours; signs inside a word never do."""
+        near = lambda k: c if 0 <= k < len(token) and (c := token[k].lower()).isalpha() else " "
+        return math.log(self.letters.get(near(i - 1) + token[i].lower() + near(i + 1), 0) + self.floor)
+
+    def _odd(self, token: str) -> list[int]:
+        """The places outside ASCII that speak for or against a token: letters, and signs between letters."""
+        return [i for i, c in enumerate(token) if ord(c) > 127 and (c.isalpha() or (0 < i < len(token) - 1 and token[i - 1].isalpha() and token[i + 1].isalpha() and c not in _JOINS))]
+
+    def _from_letters(self, text: str) -> tuple[str, bool]:
+        """Sentences turned back under the pair that makes their letters so much likelier that chance is ruled out."""
+        if not self.letters:
+            return text, False
+        rare = math.log(2 * self.floor + 2)
+        out, at, changed = [], 0, False
+        for m in _UNIT.finditer(text):
+            unit = m[0]
+            if unit.isascii():
+                continue
+            tokens = []
+            for x in _PIECE.finditer(unit):
+                t = x[0]
+                shown = t[0] in _OPEN and t.rstrip(".,;:!?")[-1:] in _CLOSE or _SHOWS.search(unit[max(0, x.start() - 60) : x.start()])
+                if not t.isascii() and not shown and (places := self._odd(t)):
+                    tokens.append((x.start(), x.end(), t, {i: self._weight(t, i) for i in places}))
+            # most sentences end here: nothing in them is rare
+            tokens = [x for x in tokens if min(x[3].values()) <= rare]
+            best: tuple[float, list[tuple[int, int, str]]] = (0.0, [])
+            for true, wrong in SINGLE_BYTE if tokens else ():
+                gain, places, turned = 0.0, 0, []
+                for a, b, t, have in tokens:
+                    v = swap(t, wrong, true)
+                    if v is None or v == t or any(not v[i].isalpha() for i in have):
+                        continue
+                    gains = [self._weight(v, i) - w for i, w in have.items()]
+                    if sum(gains) > 0 and sum(gains) >= LETTER_MEAN * len(gains):
+                        gain, places = gain + sum(gains), places + len(gains)
+                        turned.append((a, b, v))
+                if gain > best[0] and gain >= LETTER_NATS and places > 1:
+                    best = gain, turned
+            for a, b, v in best[1]:
+                out += [text[at : m.start() + a], v]
+                at, changed = m.start() + b, True
+        out.append(text[at:])
+        return "".join(out), changed
+
     def restore(self, text: str) -> tuple[str, bool, bool]:
         """(restored text, whether anything was garbled, whether characters are lost for good)."""
         if text.isascii():
@@ -311,6 +365,8 @@ class Restorer:
             b = False
             if not a:
                 text, b = self._from_bytes(text)
+            if not a and not b:
+                text, b = self._from_letters(text)
             if not a and not b:
                 break
             garbled = True
@@ -325,9 +381,13 @@ _OPEN, _CLOSE = set("“\"‘'«„`‹"), set("”\"’'»“`›")
 #: Letters that are words by themselves in some language (a fixed list).
 _WORD_LETTERS = set("àáéèêóòôíìåöäüúùßияівокусєї")
 _SHOWS = re.compile(r"\b(?:give|gives|shows?|shown|reads?|means?|become|becomes|prints?|see)\s*(?:as\s*)?[:“\"'‘(]?$", re.IGNORECASE)
+#: Signs that stand between letters in right texts (a fixed list).
+_JOINS = set("’‘–—…·-­/→×«»“”„‐‑−@&+=|_¬•‹›")
 _LOST = re.compile("�+")
 _UNIT = re.compile(r"[^\n]*?(?:[.!?…](?=\s)|\n|$)\s*|[^\n]+")
 _TOKEN = re.compile(r"[^\s]+")
+#: Parted by plain white space only: a fixed space may be a garbled letter.
+_PIECE = re.compile(r"[^ \t\r\n\f\v]+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -340,20 +400,42 @@ def frequent_words(df: DataFrame, text: str, words: int = WORDS, docs: int = WOR
 
     Collected to the driver: at most `words` of them.
     """
+    return _most(word_counts(df, text), words, docs)
+
+
+def _most(counted: DataFrame, words: int = WORDS, docs: int = WORD_DOCS) -> dict[str, int]:
+    return {r["w"]: r["count"] for r in counted.filter(F.col("count") >= docs).orderBy(F.desc("count"), "w").limit(words).collect()}
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(w, count) of all words with letters or apostrophes outside ASCII."""
     # a text's copies would outweigh what other texts hold; they are told by the hash, so that no text is shuffled
     found = df.select(F.md5(F.col(text)).alias("h"), F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({_WORD})"), F.lit(1)), lambda w: F.lower(w))).alias("w")).filter(F.size("w") > 0).distinct()
-    counted = found.select(F.explode("w").alias("w")).groupBy("w").count().filter(F.col("count") >= docs)
-    return {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(words).collect()}
+    return found.select(F.explode("w").alias("w")).groupBy("w").count()
+
+
+def letter_counts(counted: DataFrame) -> dict[str, int]:
+    """Trigrams around the letters outside ASCII of all words, with their numbers of texts, word by word; at '' the largest number.
+
+    Only letters that one of the single-byte encodings has, so their number is bounded by the alphabets whatever the data.
+    """
+    known = "".join(sorted({c for p in SINGLE_BYTE for x in p for c in tables(x)[1] if c.isalpha()} | {c.lower() for p in SINGLE_BYTE for x in p for c in tables(x)[1] if c.isalpha()}))
+    padded = F.concat(F.lit(" "), F.regexp_replace("w", "[^\\p{L}]", " "), F.lit(" "))
+    rows = counted.select("count", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, 3)))).alias("t"))
+    # neighbours outside those alphabets can't be told apart from none
+    rows = rows.filter(F.col("t").rlike(f"^[a-z {known}][{known}][a-z {known}]$"))
+    found = {r["t"]: r["n"] for r in rows.groupBy("t").agg(F.sum("count").alias("n")).collect()}
+    return found | {"": max(found.values(), default=0)} if found else {}
 
 
 _restorers: dict[int, Restorer] = {}
 
 
-def restorer_of(counts: dict[str, int]) -> Restorer:
-    key = hash(frozenset(counts.items()))
+def restorer_of(counts: dict[str, int], letters: dict[str, int] | None = None) -> Restorer:
+    key = hash((frozenset(counts.items()), frozenset((letters or {}).items())))
     if key not in _restorers:
         _restorers.clear()
-        _restorers[key] = Restorer(counts)
+        _restorers[key] = Restorer(counts, letters)
     return _restorers[key]
 
 
@@ -362,18 +444,21 @@ def restore(df: DataFrame, key: str, text: str, counts: dict[str, int] | None =
 
     restored_md5 is the MD5 of the whole restored text, empty where characters are lost. Null, empty and right texts give no
     row, nor do texts that only quote garbled characters; whole texts are read, however long. Equal rows each give a row;
-    an empty table gives none. counts: word counts to go by, by default those of df itself.
+    an empty table gives none. counts: word counts to go by, by default those of df itself,
+    with which words that have no pattern are told by their letters.
     """
+    letters: dict[str, int] = {}
     if counts is None:
-        counts = frequent_words(df, text)
-    shared = df.sparkSession.sparkContext.broadcast(counts)
+        counted = cut(word_counts(df, text))
+        counts, letters = _most(counted), letter_counts(counted)
+    shared = df.sparkSession.sparkContext.broadcast((counts, letters))
     kind = dict(df.dtypes)[key]
     rows = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias(key), F.col(text).cast("string").alias("__text"))
 
     rows = spread(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = restorer_of(shared.value)
+        r = restorer_of(*shared.value)
         for batch in batches:
             at, sums, texts = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):

@@ -245,6 +245,19 @@ def test_garbled_copies(spark):
     assert got == {(r, md5(t)) for r, t in [*((100 + i, good) for i in range(40)), *((300 + i, latin) for i in range(40))]}
 
 
+def test_garbled_rare_words(spark):
+    rnd = random.Random(8)
+    stems, ends = ["катал", "архив", "читат", "книж", "блок", "перед", "стран", "запис"], ["ами", "ного", "ение", "ость", "ыми", "овать"]
+    rows = [(i, " ".join(rnd.choice(stems) + rnd.choice(stems) + rnd.choice(ends) for _ in range(12)) + ".") for i in range(300)]
+    rare = "Архивкаталблокение странпередзаписость книжкаталстранами."
+    wrong = [(1000 + i, garbled.swap(rare, *pair)) for i, pair in enumerate((("cp1251", "web"), ("cp1251", "koi8-r")))]
+    df = spark.createDataFrame(rows + wrong + [(2000, rare)], "doc_id bigint, text string")
+    held = garbled.frequent_words(df, "text")
+    assert not {w.lower().strip(".") for w in rare.split()} & set(held)
+    got = {(r.doc_id, r.restored_md5) for r in garbled.restore(df, "doc_id", "text").collect()}
+    assert got == {(i, hashlib.md5(rare.encode()).hexdigest()) for i, _ in wrong}
+
+
 def test_garbled_form_more_frequent_than_its_word():
     words = "ключ тома читает блоки неверном порядке".split()
     counts = dict.fromkeys(words, 50) | {garbled.swap(w, "cp1251", "web").lower(): 900 for w in words}
