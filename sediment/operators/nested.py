@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 TRIPLES = "record bigint, kind string, node string, parent string, entity string, field string, ordinal int, value string"
 _ARROW = pa.schema([("record", pa.int64()), ("kind", pa.string()), ("node", pa.string()), ("parent", pa.string()), ("entity", pa.string()), ("field", pa.string()), ("ordinal", pa.int32()), ("value", pa.string())])
+#: Ends the kind of an object that only holds a nested list of that kind; the list's things stand below its node.
+GROUP = " group"
 #: Triples in one Arrow batch.
 BATCH = 20_000
 
@@ -137,6 +139,10 @@ def triples_of(root: dict, kinds: dict[str, Kind]) -> Iterator[tuple]:
                 yield kind, node, parent, entity, "", ordinal, text
             continue
         if k.group and k.group in value and k.text not in value:
+            yield kind + GROUP, node, parent, entity, "", ordinal, None
+            for key, x in value.items():
+                if key != k.group and x is not None and x != "":
+                    yield kind + GROUP, node, parent, entity, key, ordinal, x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
             stack.append(("list", kind, f"{node}/{k.group}", parent, entity, 0, value[k.group]))
             continue
         if k.text is not None:
@@ -144,7 +150,7 @@ def triples_of(root: dict, kinds: dict[str, Kind]) -> Iterator[tuple]:
             if text is None or (isinstance(text, str) and not text.strip()):
                 continue
             yield kind, node, parent, entity, "", ordinal, text if isinstance(text, str) else json.dumps(text)
-        elif kind != "root":
+        else:
             yield kind, node, parent, entity, "", ordinal, None
         for key, x in value.items():
             if key not in k.children and key != k.text and x is not None and x != "":
@@ -183,8 +189,8 @@ def triples(df: DataFrame, record: str, body: str, kinds: dict[str, Kind] | None
     return df.select(F.col(record).cast("bigint"), F.col(body).cast("string")).mapInArrow(run, TRIPLES)
 
 
-def flat_table(triples_df: DataFrame, kind: str, fields: list[str]) -> DataFrame:
-    """The table of one kind: record, node, parent, ordinal, value and one column per field.
+def flat_table(triples_df: DataFrame, kind: str, fields: list[str], other: bool = False) -> DataFrame:
+    """The table of one kind: record, node, parent, ordinal, value and one column per field; other: also a list of all other fields.
 
     One shuffle on (record, node), pre-aggregated; a record delivered twice with one id gives one row per node.
     """
@@ -193,9 +199,10 @@ def flat_table(triples_df: DataFrame, kind: str, fields: list[str]) -> DataFrame
         F.min("ordinal").alias("ordinal"),
         F.min(F.when(F.col("field") == "", F.col("value"))).alias("value"),
         *[F.min(F.when(F.col("field") == f, F.col("value"))).alias(f"f_{f}") for f in fields],
+        *[F.array_sort(F.collect_set(F.when(~F.col("field").isin("", *fields), F.struct("field", "value")))).alias("other")] * other,
     )
 
 
 def nodes(triples_df: DataFrame) -> DataFrame:
-    """(record, node, parent) of every thing."""
-    return triples_df.filter(F.col("field") == "").select("record", "node", "parent")
+    """(record, node, parent) of every thing below the root; groups are none."""
+    return triples_df.filter((F.col("field") == "") & (F.col("kind") != "root") & ~F.col("kind").endswith(GROUP)).select("record", "node", "parent")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators.nested import flat_table, nodes, triples
+from sediment.operators.nested import GROUP, flat_table, nodes, triples
 from sediment.operators.snapshot_diff import snapshot_changes
 from sediment.runtime import table
 
@@ -39,7 +39,22 @@ def p5_tags(spark: SparkSession, d: str) -> DataFrame:
     return flat_table(_manifests(spark, d), "tag", ["by"]).withColumnRenamed("record", "manifest_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_layers, p5_segments, p5_words, p5_tags)}
+def p5_tag_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of tags; a tag of p5_tags belongs to the group whose node, followed by /items, its own begins with."""
+    return flat_table(_manifests(spark, d), "tag" + GROUP, ["group"], other=True).withColumnRenamed("record", "manifest_id")
+
+
+def p5_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    return flat_table(_manifests(spark, d), "description", []).withColumnRenamed("record", "manifest_id")
+
+
+def p5_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """One row per manifest; fields without a column of their own are in other."""
+    fields = ["file", "title", "mime", "format", "size", "added", "sha256", "sha1"]
+    return flat_table(_manifests(spark, d), "root", fields, other=True).drop("node", "parent", "ordinal", "value").withColumnRenamed("record", "manifest_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_layers, p5_segments, p5_words, p5_tags, p5_tag_groups, p5_descriptions, p5_manifests)}
 
 ORACLE = {
     "p3_found": """

@@ -112,3 +112,19 @@ def test_flat_table_twice(spark):
     rows = flat_table(triples(df, "manifest_id", "body"), "layer", ["type", "file"]).orderBy("node").collect()
     assert [(r.node, r.ordinal, r.f_type, r.f_file) for r in rows] == [("layers/0", 0, "ocr", "a"), ("layers/1", 1, "ocr", "a")]
     assert flat_table(triples(df.filter(F.lit(False)), "manifest_id", "body"), "layer", ["type"]).count() == 0
+
+
+def test_manifests_descriptions_and_groups(spark, tmp_path):
+    from sediment.plans import training
+
+    body = {"file": "f", "title": "T", "mime": "m", "size": 7, "sha256": "ab", "x_own": [1], "description": {"pt": "a", "en": "b"}, "tags": [{"group": "g", "items": ["a", {"group": "h", "items": ["b"]}]}, "c"], "layers": [{"type": "ocr"}]}
+    rows = [(1, json.dumps(body)), (2, json.dumps({"file": "g", "tags": "t"})), (3, None)]
+    spark.createDataFrame(rows, "manifest_id bigint, body string").write.parquet(f"{tmp_path}/arca_manifests.parquet")
+    rows_of = lambda q: {r.asDict()["node"]: r for r in training.QUERIES[q](spark, str(tmp_path)).collect()}
+    assert {n: (r.manifest_id, r.value) for n, r in rows_of("p5_descriptions").items()} == {"description/pt": (1, "a"), "description/en": (1, "b")}
+    assert {n: r.f_group for n, r in rows_of("p5_tag_groups").items()} == {"tags/0": "g", "tags/0/items/1": "h"}
+    assert set(rows_of("p5_tags")) == {"tags/0/items/0", "tags/0/items/1/items/0", "tags/1", "tags/0"}  # the last is manifest 2's
+    got = {r.manifest_id: r for r in training.QUERIES["p5_manifests"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and (got[1].f_title, got[1].f_mime, got[1].f_size, got[1].f_sha256, got[2].f_title) == ("T", "m", "7", "ab", None)
+    assert [tuple(x) for x in got[1].other] == [("x_own", "[1]")] and got[2].other == []
+    assert len(rows_of("p5_found")) == 7
