@@ -29,10 +29,12 @@ class Trees:
         return 1 / (1 + np.exp(-self.raw(np.asarray(x, float)))) if len(x) else np.zeros(0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Trees fitted to the rows of x with labels y of 0 and 1. One class only, or no rows: a constant."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0, weight: np.ndarray | None = None) -> Trees:
+    """Trees fitted to the rows of x with labels y of 0 and 1, each as often as its weight says. One class only, or no rows: a constant."""
     x, y = np.asarray(x, float), np.asarray(y, float)
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    x, y, w = x[w > 0], y[w > 0], w[w > 0]
+    share = ((y * w).sum() + 0.5) / (w.sum() + 1)
     model = Trees(float(np.log(share / (1 - share))), depth)
     if not len(y) or y.min() == y.max():
         return model
@@ -42,7 +44,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
     inner = 2**depth - 1
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-raw))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = w * (p - y), w * np.maximum(p * (1 - p), 1e-6)
         features, cuts = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(len(y), np.int64)
         for at in range(inner):

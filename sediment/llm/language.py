@@ -1,13 +1,14 @@
 """The language of each text and of each sentence of a mixed text, with a confidence.
 
 Words first: a known word scores its log frequency in each language. An unknown one backs off to character n-grams,
-the longest known one at each place, ever shorter down to single letters. The frequencies come from all
-labelled rows; as labels may be wrong, sentences are then classified and the words counted once more by what was found.
+the longest known one at each place, ever shorter down to single letters. The model is fitted on a bounded sample of labelled
+rows of each language, drawn by a hash of the text; as labels may be wrong, the sample's sentences are then classified and its words
+counted once more by what was found. The model is built once on the driver; every text is then read once, in batches of sentences.
 """
 
 from __future__ import annotations
 
-import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.runtime import spread
+from sediment.runtime import cut, spread
 
 #: Two-letter code, three-letter codes, English name, own name.
 LANGUAGES = """
@@ -36,7 +37,9 @@ gl glg galician galego|eu eus baq basque euskara|ga gle irish gaeilge|cy cym wel
 """.strip().replace("\n", "|")
 #: Code or name, in lower case -> two-letter code.
 NAMES = {name.replace(" ", " "): group.split(" ")[0] for group in LANGUAGES.split("|") for name in group.split(" ")}
-#: Words per language and n-grams that the model keeps, the most frequent first.
+#: Labelled texts of each language that the model is fitted on, about; every text of a language with fewer.
+SAMPLE = 2_000
+#: Words per language that the model keeps at most, the most frequent first; others are scored by their n-grams.
 WORDS = 30_000
 #: A word or n-gram seen less often than this in all is unknown.
 LEAST = 2
@@ -45,8 +48,10 @@ GRAM = 5
 UNKNOWN = 0.35
 #: A sentence has a language of its own if so many of its known words don't begin with a capital, and with this confidence.
 SENTENCE_WORDS, SENTENCE_SURE = 3, 0.95
-#: Words of an unknown language that a worker keeps scored.
-KEEP = 300_000
+#: Unknown words that a worker keeps scored.
+KEEP = 100_000
+#: Words scored at once, and sentences gathered for that.
+AT_ONCE, SENTENCES = 50_000, 2_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 _TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
@@ -56,6 +61,9 @@ _STAMP = re.compile(rf"[\[(<]?\s*(?:(?<![\d:]){_TIME}(?![\d:])|(?<![\d.])\d+(?:\
 #: Sound notes: in brackets, parentheses, asterisks or between notes, of letters and times only.
 NOTE = regex.compile(r"\[[^\[\]\n]{0,60}\]|\((?![^()\n]*\d)[\p{L} '’.-]{1,40}(?:\d\d?:\d\d(?::\d\d)?)?\)|\*[^*\n]{1,40}\*|♪[^♪\n]{0,40}♪|<[^<>\n]{1,60}>")
 _QUOTED = regex.compile(r"“[^“”\n]{1,80}”|«[^«»\n]{1,80}»|„[^„“”\n]{1,80}[“”]|\"[^\"\n]{1,80}\"")
+_QUOTES = re.compile('[“«„"]')
+_NOTED = re.compile(r"[\[(*♪<]")
+_TIMED = re.compile(r"\d:\d\d|\ds\b")
 _END = regex.compile(r"(?<=[.!?…])[\"”’»)]*\s+|\n+")
 
 
@@ -97,11 +105,16 @@ def sentences(content: str | None, kind: str | None) -> list[str]:
         text = "\n".join(cues)
     else:
         text = content
-    text = _STAMP.sub(" ", NOTE.sub(" ", text)).replace("♪", " ")
+    # most texts hold neither notes nor times, so the costly patterns are tried only where they can match
+    if _NOTED.search(text):
+        text = NOTE.sub(" ", text).replace("♪", " ")
+    if _TIMED.search(text):
+        text = _STAMP.sub(" ", text)
     out = []
     for s in _END.split(text):
-        bare = _QUOTED.sub(" ", s)
-        s = bare if len(_WORD.findall(bare)) >= SENTENCE_WORDS else s
+        if _QUOTES.search(s):
+            bare = _QUOTED.sub(" ", s)
+            s = bare if len(_WORD.findall(bare)) >= SENTENCE_WORDS else s
         if s and not s.isspace():
             out.append(s)
     return out
@@ -116,6 +129,8 @@ class Counts:
 
 
 class Model:
+    """Built once, on the driver; what it holds is bounded by WORDS and the languages, so it can be broadcast."""
+
     def __init__(self, counts: Counts):
         self.languages = sorted(k for k, v in counts.totals.items() if v)
         n = len(self.languages)
@@ -125,7 +140,7 @@ class Model:
         known = [w for w, c in sums.items() if c >= LEAST]
         self._rows = {w: i for i, w in enumerate(known)}
         table = np.full((len(known), n), 0.5)
-        grams: dict[str, np.ndarray] = {}
+        grams: dict[str, list[float]] = {}
         for j, x in enumerate(self.languages):
             for w, c in counts.words[x].items():
                 if (i := self._rows.get(w)) is not None:
@@ -135,123 +150,195 @@ class Model:
                 for k in range(1, GRAM + 1):
                     for a in range(len(padded) - k + 1):
                         g = padded[a : a + k]
-                        if g not in grams:
-                            grams[g] = np.full(n, 0.5)
-                        grams[g][j] += weight
+                        if (v := grams.get(g)) is None:
+                            v = grams[g] = [0.5] * n
+                        v[j] += weight
         totals = np.array([counts.totals[x] + 0.5 * len(known) for x in self.languages], float)
-        self._table = np.log(table / totals) if len(known) else np.zeros((0, n))
+        table = np.log(table / totals) if len(known) else np.zeros((0, n))
         # what a word says is how much likelier it is in a language than on average, so that its rarity says nothing
-        if len(known):
-            self._table -= np.log(np.exp(self._table).mean(axis=1, keepdims=True))
-        spread = np.ones(n)
+        self._table = table - np.log(np.exp(table).mean(axis=1, keepdims=True)) if len(known) else table
+        spread_ = np.ones(n)
         for g, v in grams.items():
             if len(g) == 1:
-                spread += v
-        self._grams = {g: np.log(v / spread) for g, v in grams.items() if v.sum() >= LEAST + 0.5 * n}
-        for g, v in self._grams.items():
-            self._grams[g] = v - math.log(np.exp(v).mean())
-        self._unseen: dict[str, np.ndarray] = {}
+                spread_ += v
+        kept = [g for g, v in grams.items() if sum(v) >= LEAST + 0.5 * n]
+        self._gram_rows = {g: i for i, g in enumerate(kept)}
+        held = np.log(np.array([grams[g] for g in kept]).reshape(len(kept), n) / spread_)
+        self._grams = (held - np.log(np.exp(held).mean(axis=1, keepdims=True))).astype(np.float32) if len(kept) else held
+        self._forget()
+
+    def _forget(self) -> None:
+        """The scores of unknown words met so far start anew, behind those of the known words."""
+        self._ids = dict(self._rows)
+        self._scores = np.vstack([self._table, np.zeros((1024, len(self.languages)))])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_ids", "_scores")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def _back_off(self, word: str) -> np.ndarray:
         """Sum over the places of the word of the longest known n-gram that starts there and isn't inside the last one."""
-        if (known := self._unseen.get(word)) is not None:
-            return known
         out, at, end = np.zeros(len(self.languages)), 0, 0
         padded = f"^{word}$"
         while at < len(padded):
             for k in range(min(GRAM, len(padded) - at), 0, -1):
-                v = self._grams.get(padded[at : at + k])
-                if v is not None and at + k > end:
-                    out += v * (k / GRAM)
+                i = self._gram_rows.get(padded[at : at + k])
+                if i is not None and at + k > end:
+                    out += self._grams[i] * (k / GRAM)
                     end = at + k
                     break
             at += 1
-        out *= UNKNOWN
-        if len(self._unseen) >= KEEP:
-            self._unseen.clear()
-        self._unseen[word] = out
+        return out * UNKNOWN
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """The row of scores of each word, in lower case; known words stand before len(self._rows)."""
+        get = self._ids.get
+        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        if (out < 0).any():
+            if len(self._ids) - len(self._rows) > KEEP:
+                self._forget()
+                return self.ids(words)
+            for i in np.flatnonzero(out < 0):
+                w = words[i]
+                if (k := self._ids.get(w)) is None:
+                    k = self._ids[w] = len(self._ids)
+                    if k >= len(self._scores):
+                        self._scores = np.vstack([self._scores, np.zeros_like(self._scores[: max(1024, len(self._scores) // 2)])])
+                    self._scores[k] = self._back_off(w)
+                out[i] = k
         return out
 
-    def scores(self, words: list[str]) -> tuple[np.ndarray, int]:
-        """Log likelihood of each language, and how many words are known."""
-        ids = [i for w in words if (i := self._rows.get(w)) is not None]
-        out = self._table[ids].sum(axis=0) if ids else np.zeros(len(self.languages))
-        if len(ids) < len(words):
-            for w in words:
-                if w not in self._rows:
-                    out = out + self._back_off(w)
-        return out, len(ids)
-
-    def plain(self, text: str) -> int:
-        """How many known words don't begin with a capital letter, so can't be names."""
-        return sum(1 for w in _WORD.findall(text) if w in self._rows)
+    def classify_all(self, texts: list[str]) -> list[tuple[str | None, float, int, int]]:
+        """(language, confidence, words, plain words) of each text; plain words are known and don't begin with a capital, so can't be names."""
+        if not self.languages:
+            return [(None, 0.0, 0, 0)] * len(texts)
+        found = [_WORD.findall(t) for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sums, plain = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        at = 0
+        while at < len(texts):
+            # so many texts at once that their words' scores fit; of a longer text its words in pieces
+            end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), AT_ONCE, side="right")) + at)
+            words = [w for ws in found[at:end] for w in ws]
+            owner = np.repeat(np.arange(at, end), sizes[at:end])
+            for a in range(0, len(words), AT_ONCE):
+                some, who = words[a : a + AT_ONCE], owner[a : a + AT_ONCE]
+                low = [w.lower() for w in some]
+                ids = self.ids(low)
+                starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                sums[who[starts]] += np.add.reduceat(self._scores[ids], starts, axis=0)
+                small = np.fromiter(map(operator.eq, some, low), bool, len(some)) & (ids < len(self._rows))
+                plain += np.bincount(who, small, len(texts)).astype(np.int64)
+            at = end
+        p = np.exp(sums - sums.max(axis=1, keepdims=True))
+        best = p.argmax(axis=1)
+        sure = p[np.arange(len(p)), best] / p.sum(axis=1)
+        return [(self.languages[b], c, n, k) if n else (None, 0.0, 0, 0) for b, c, n, k in zip(best.tolist(), sure.tolist(), sizes.tolist(), plain.tolist(), strict=True)]
 
     def classify(self, text: str) -> tuple[str | None, float, int]:
         """(language, confidence, words); no language for a text without words."""
-        words = [w.lower() for w in _WORD.findall(text)]
-        if not words or not self.languages:
-            return None, 0.0, 0
-        s, _ = self.scores(words)
-        p = np.exp(s - s.max())
-        best = int(s.argmax())
-        return self.languages[best], float(p[best] / p.sum()), len(words)
+        return self.classify_all([text])[0][:3]
 
 
-def segments_of(model: Model, content: str | None, kind: str | None) -> list[tuple[int, str, float, str]]:
+def batched(model: Model, texts: Iterator[tuple[object, list[str]]]) -> Iterator[tuple[object, list[str], list[tuple[str | None, float, int, int]]]]:
+    """(what, its sentences, their classes) in order; sentences of many texts are classified at once."""
+    held: list[tuple[object, list[str]]] = []
+    n = 0
+
+    def flush() -> Iterator[tuple[object, list[str], list]]:
+        classes = iter(model.classify_all([s for _, ss in held for s in ss]))
+        for what, ss in held:
+            yield what, ss, [next(classes) for _ in ss]
+
+    for what, ss in texts:
+        held.append((what, ss))
+        n += len(ss)
+        if n >= SENTENCES:
+            yield from flush()
+            held, n = [], 0
+    yield from flush()
+
+
+def segments_of(model: Model, ss: list[str], classes: list[tuple[str | None, float, int, int]]) -> list[tuple[int, str, float, str]]:
     """(ordinal, language, confidence, text) of runs of sentences in one language; a sentence too short or unsure joins its neighbours'."""
-    found = [(s, *model.classify(s)) for s in sentences(content, kind)]
-    found = [f for f in found if f[3]]
+    found = [(s, *c) for s, c in zip(ss, classes, strict=True) if c[2]]
     if not found:
         return []
-    sure = [lang if n >= SENTENCE_WORDS and p >= SENTENCE_SURE and model.plain(s) >= SENTENCE_WORDS else None for s, lang, p, n in found]
+    sure = [lang if n >= SENTENCE_WORDS and p >= SENTENCE_SURE and plain >= SENTENCE_WORDS else None for _, lang, p, n, plain in found]
     if not any(sure):
         lang, p, _ = model.classify(" ".join(f[0] for f in found))
         return [(0, lang, p, " ".join(f[0].strip() for f in found))]
     last = next(x for x in sure if x)
     out: list[list] = []
-    for x, (s, _, p, _) in zip(sure, found, strict=True):
+    for x, (s, _, p, _, _) in zip(sure, found, strict=True):
         last = x or last
         if out and out[-1][0] == last:
             out[-1][1].append(s.strip())
             out[-1][2].append(p if x else 0.5)
         else:
             out.append([last, [s.strip()], [p if x else 0.5]])
-    return [(i, lang, float(np.mean(p)), " ".join(texts)) for i, (lang, texts, p) in enumerate(out)]
+    return [(i, lang, sum(p) / len(p), " ".join(texts)) for i, (lang, texts, p) in enumerate(out)]
 
 
-def _collect(counted: DataFrame, words: int) -> Counts:
-    """The `words` most frequent words of each language, collected: bounded by languages times words."""
-    from pyspark.sql.window import Window
+def sample_of(df: DataFrame, content: str, kind: Column, label: Column, size: int = SAMPLE) -> DataFrame:
+    """(content, kind, label): about `size` texts of each label, equal ones once, those with the smallest hashes; in the checkpoint folder.
 
-    w = Window.partitionBy("lang").orderBy(F.desc("c"), "w")
-    # top words per language by a partial pass: a word kept in no partition's top can't be in the overall top
-    rows = counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= words).collect()
-    totals = {r["lang"]: int(r["t"]) for r in counted.groupBy("lang").agg(F.sum("c").alias("t")).collect()}
+    Labels are codes, so that there are at most as many as known languages. The labels are counted, then each has its own threshold
+    of the hash: neither a sort nor a shuffle of other texts.
+    """
+    rows = df.select(F.col(content).cast("string").alias("content"), kind.alias("kind"), label.alias("label")).filter("content is not null and label is not null")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counts:
+        return cut(rows)
+    most = 1 << 30
+    limits = F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, min(most, most * size // n + 1))])
+    return cut(rows.filter(F.pmod(F.xxhash64("content"), F.lit(most)) < F.try_element_at(limits, F.col("label"))).dropDuplicates())
+
+
+def _collect(counted: DataFrame, words: int) -> Counts:
+    """The most frequent words of each language, at most `words` each, collected. Which counts are frequent enough is read off a
+    histogram of powers of two in eighths, so no language's vocabulary is sorted in one task; words at the edge are left out."""
+    counted = cut(counted)
+    steps: dict[str, dict[int, int]] = {}
+    totals: dict[str, int] = {}
+    for r in counted.groupBy("lang", F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("t")).collect():
+        steps.setdefault(r["lang"], {})[r["step"]] = r["n"]
+        totals[r["lang"]] = totals.get(r["lang"], 0) + int(r["t"])
+    lowest = {}
+    for lang, held in steps.items():
+        n, lowest[lang] = 0, 1 << 40
+        for step in sorted(held, reverse=True):
+            n += held[step]
+            if n > words:
+                break
+            lowest[lang] = step
     out: dict[str, dict[str, int]] = {x: {} for x in totals}
-    for r in rows:
-        out[r["lang"]][r["w"]] = int(r["c"])
+    if lowest:
+        edges = F.create_map(*[F.lit(x) for pair in lowest.items() for x in pair])
+        for r in counted.filter(F.floor(F.log2("c") * 8) >= F.try_element_at(edges, F.col("lang"))).collect():
+            out[r["lang"]][r["w"]] = int(r["c"])
     return Counts(out, totals)
 
 
-def _counted_by(df: DataFrame, content: str, kind: Column, label: Column, counts: Counts | None) -> DataFrame:
+def _counted_by(sample: DataFrame, model: Model | None) -> DataFrame:
     """(lang, w, c): words by the label, or by the language found sentence by sentence. Counted in each batch before the shuffle."""
-    shared = None if counts is None else df.sparkSession.sparkContext.broadcast(counts)
-    rows = spread(df.select(F.col(content).cast("string").alias("content"), kind.alias("kind"), label.alias("label")).filter("content is not null" + ("" if shared else " and label is not null")))
+    shared = None if model is None else sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(shared.value) if shared else None
         held: Counter = Counter()
-        for batch in batches:
-            for text, kind_, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for s in sentences(text, kind_):
-                    # once a sentence, so that a long text of one word doesn't outweigh a language
-                    words = {w.lower() for w in _WORD.findall(s)}
-                    found = lang
-                    if model:
-                        found, p, n = model.classify(s)
-                        if n < SENTENCE_WORDS or p < SENTENCE_SURE:
-                            continue
-                    held.update((found, w) for w in words)
+        texts = ((lang, sentences(text, kind)) for batch in batches for text, kind, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for lang, ss, classes in batched(shared.value, texts) if shared else ((lang, ss, None) for lang, ss in texts):
+            for i, s in enumerate(ss):
+                found = lang
+                if classes:
+                    found, p, n, _ = classes[i]
+                    if n < SENTENCE_WORDS or p < SENTENCE_SURE:
+                        continue
+                # once a sentence, so that a long text of one word doesn't outweigh a language
+                held.update((found, w) for w in {w.lower() for w in _WORD.findall(s)})
             if len(held) > 200_000:
                 yield _batch(held)
                 held.clear()
@@ -261,39 +348,24 @@ def _counted_by(df: DataFrame, content: str, kind: Column, label: Column, counts
     def _batch(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.array(list(held.values()), pa.int64())], names=["lang", "w", "c"])
 
-    return rows.mapInArrow(run, "lang string, w string, c bigint").groupBy("lang", "w").agg(F.sum("c").alias("c"))
-
-
-_models: dict[int, Model] = {}
-
-
-def model_of(counts: Counts) -> Model:
-    """One model a process and set of counts."""
-    key = hash(tuple(sorted((k, v, len(counts.words[k])) for k, v in counts.totals.items())))
-    if key not in _models:
-        if len(_models) > 2:
-            _models.clear()
-        _models[key] = Model(counts)
-    return _models[key]
+    return spread(sample).mapInArrow(run, "lang string, w string, c bigint").groupBy("lang", "w").agg(F.sum("c").alias("c"))
 
 
-def train(df: DataFrame, content: str, label: str, kind: str | None = None, words: int = WORDS) -> Counts:
-    """Word counts per language, from all rows: once by their labels, once by the languages then found."""
-    kind_ = F.col(kind) if kind else F.lit(None).cast("string")
-    first = _collect(_counted_by(df, content, kind_, code_column(F.col(label)), None), words)
-    return _collect(_counted_by(df, content, kind_, F.lit(None).cast("string"), first), words)
+def train(df: DataFrame, content: str, label: str, kind: str | None = None, words: int = WORDS, size: int = SAMPLE) -> Model:
+    """The model of a bounded sample: its words are counted once by their labels, once by the languages then found."""
+    sample = sample_of(df, content, F.col(kind) if kind else F.lit(None).cast("string"), code_column(F.col(label)), size)
+    first = Model(_collect(_counted_by(sample, None), words))
+    return Model(_collect(_counted_by(sample, first), words))
 
 
-def languages(df: DataFrame, keys: list[str], content: str, label: str, kind: str | None = None, counts: Counts | None = None, segments: bool = False) -> DataFrame:
+def languages(df: DataFrame, keys: list[str], content: str, label: str, kind: str | None = None, model: Model | None = None, segments: bool = False) -> DataFrame:
     """One row per row of df and language of its content: (*keys, label_code, lang, confidence, n_langs, named).
 
     named tells whether the label names that language. With segments: (*keys, segment, lang, confidence, text) in order. A
     content that is null, empty or has no words of its own gives no rows; whole contents are read, however long; equal
     rows give equal rows. Without any labelled row there is no language to name and the result is empty.
     """
-    if counts is None:
-        counts = train(df, content, label, kind)
-    shared = df.sparkSession.sparkContext.broadcast(counts)
+    shared = df.sparkSession.sparkContext.broadcast(model or train(df, content, label, kind))
     kinds = dict(df.dtypes)
     names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(content).cast("string").alias("content"), (F.col(kind) if kind else F.lit(None)).cast("string").alias("kind"), F.col(label).cast("string").alias("label")).filter("content is not null")
@@ -302,12 +374,13 @@ def languages(df: DataFrame, keys: list[str], content: str, label: str, kind: st
     m = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(shared.value)
+        model = shared.value
         for batch in batches:
             at, out = [], []
-            texts = zip(*(batch.column(i).to_pylist() for i in (m, m + 1, m + 2)), strict=True)
-            for i, (text, kind_, label_) in enumerate(texts):
-                found = segments_of(model, text, kind_)
+            labels = batch.column(m + 2).to_pylist()
+            texts = ((i, sentences(*x)) for i, x in enumerate(zip(batch.column(m).to_pylist(), batch.column(m + 1).to_pylist(), strict=True)))
+            for i, ss, classes in batched(model, texts):
+                found = segments_of(model, ss, classes)
                 if segments:
                     at += [i] * len(found)
                     out += found
@@ -315,7 +388,7 @@ def languages(df: DataFrame, keys: list[str], content: str, label: str, kind: st
                 held: dict[str, list[float]] = {}
                 for _, lang, p, _ in found:
                     held.setdefault(lang, []).append(p)
-                code = code_of(label_)
+                code = code_of(labels[i])
                 for lang, ps in held.items():
                     at.append(i)
                     out.append((code, lang, sum(ps) / len(ps), len(held), lang == code))

@@ -1,18 +1,22 @@
 """Transcripts into clean, ordered speaker turns.
 
-A content is cut into segments with a time, a label and text, whatever its layout. Within a transcript the
-written labels are unified to persons. Boosted trees decide from labels, gaps and context whether a segment starts a
-new turn, others decide token by token what is a hesitation sound: a form that is common in the speech of a language and
-hardly occurs in its other texts. Both are fitted on a bounded sample; all counts are of all rows.
+A content is cut into segments with a time, a label and text, whatever its layout. Within a transcript the written labels are
+unified to persons. Boosted trees decide from labels, gaps and context whether a segment starts a new turn against the one
+before; they are fitted on transcripts whose full names have been shortened or misspelt, so that what is true comes from what
+they don't see. Other trees decide which tokens are hesitation sounds, by how forms are spread over speech and written texts;
+they are fitted on tokens beside a pause against tokens of written texts and names. Both kinds, and the language model, are fitted on
+bounded samples or counts; the counts of forms are of all rows.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm import boost
-from sediment.llm.language import NOTE, Counts, Model, model_of, sentences, train
-from sediment.runtime import spread
+from sediment.llm.language import NOTE, Model, batched, sentences, train
+from sediment.runtime import cut, spread
 
-#: Transcripts and other texts that the trees are fitted on, the first in order of a hash of the key.
-SAMPLE = 1_500
-#: Tokens of them that the trees for hesitation sounds are fitted on.
-TOKENS = 60_000
-#: Squeezed forms whose counts are kept, the most frequent ones; and the most letters of one.
-FORMS, FORM_LETTERS = 20_000, 7
+#: Transcripts that the boundary trees are fitted on, the first in order of a hash of the content; and the most characters of one.
+SAMPLE, SAMPLE_CHARS = 1_500, 100_000
+#: Least share of a language's spoken tokens that a form must have to be a hesitation sound; so at most the inverse number of forms a
+#: language is looked at. And the most letters of one.
+FORM_SHARE, FORM_LETTERS = 1e-5, 7
+#: Tokens whose form a worker keeps.
+KEEP = 200_000
 
 _CLOCK = r"(?:\d{1,2}:)?\d{1,3}:\d{2}(?:[.,]\d{1,3})?"
 _SECONDS = r"\d+(?:\.\d+)?s"
@@ -47,6 +52,8 @@ _NUMBERED = regex.compile(r"^(?:(?:\p{L}+)[ _-]?)?#?0*(\d{1,3})$")
 _NAME = regex.compile(r"^(?:(?:\p{Lu}[\p{L}\p{M}'’-]*|\p{Lu}\.|(?:de|da|di|do|dos|del|van|von|der|den|la|le|el)\b)\.?(?:\s+|$)){1,4}$")
 _TITLE = regex.compile(r"^(?:dr|prof|mr|mrs|ms|sr|sra|herr|frau|m|mme|д-р|проф)\.?\s+(?=\p{L}{2})", regex.IGNORECASE)
 _SPLIT = re.compile(r"(?<![.…])(?<=[.!?])\s+|\n+")
+#: A line's end that doesn't end a sentence.
+_WRAPPED = re.compile(r"(?<![.!?…\n])\n(?!\n)")
 _HAS_WORD = regex.compile(r"[\p{L}\p{N}]")
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _LETTERS = regex.compile(r"^[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*$")
@@ -170,30 +177,54 @@ def _fits(form: tuple[str, ...], person: tuple[str, ...], exact: bool) -> bool:
     return all(p[0] == f[0] if f.endswith(".") or p.endswith(".") else same(f, p) for f, p in zip(form, person, strict=True))
 
 
-def persons(labels: list[str | None]) -> list[int | None]:
-    """The person of each label, as a number; a label names the person with the fullest name that it fits, however written.
+@dataclass
+class People:
+    """The persons of a transcript: the forms that name each, and which persons each form fits, exactly if it can."""
 
-    Fuller forms are taken first, more frequent ones before rarer ones, so a misspelt name falls to the right one. Of several persons
-    that fit, the one named last before counts.
-    """
-    forms = [None if x is None else name_parts(x) for x in labels]
+    aliases: list[list[tuple[str, ...]]] = field(default_factory=list)
+    fits: dict[tuple[str, ...], list[int]] = field(default_factory=dict)
+
+    def grade(self, form: tuple[str, ...] | None, person: int | None) -> int:
+        """How well a form names a person: 3 one of its forms, 2 fits one exactly, 1 but for a letter, 0 not."""
+        if form is None or person is None or person not in self.fits[form]:
+            return 0
+        mine = self.aliases[person]
+        return 3 if form in mine else 2 if any(_fits(form, a, True) for a in mine) else 1
+
+
+def people_of(forms: list[tuple[str, ...] | None]) -> People:
+    """Persons by their forms: fuller forms are taken first, more frequent ones before rarer ones, so a misspelt name falls to the
+    right one. A form that fits one person alone becomes one of its forms, which later forms may fit."""
     counts = Counter(f for f in forms if f)
 
     def fullness(f: tuple[str, ...]) -> int:
         return 4 if f[0] == "#" else sum(2 if len(p.rstrip(".")) > 1 else 1 for p in f) + (len(f) > 1) - (len(f) == 1 and len(f[0]) <= 3)
 
-    people: list[tuple[str, ...]] = []
-    fits: dict[tuple[str, ...], list[int]] = {}
+    out = People()
     for f in sorted(counts, key=lambda f: (-fullness(f), -counts[f], f)):
-        mine = [i for i, p in enumerate(people) if _fits(f, p, True)] or [i for i, p in enumerate(people) if _fits(f, p, False)]
+        mine: list[int] = []
+        for exact in (True, False):
+            mine = mine or [i for i, forms_ in enumerate(out.aliases) if any(_fits(f, a, exact) for a in forms_)]
         if not mine:
-            people.append(f)
-            mine = [len(people) - 1]
-        fits[f] = mine
+            out.aliases.append([])
+            mine = [len(out.aliases) - 1]
+        if len(mine) == 1:
+            out.aliases[mine[0]].append(f)
+        out.fits[f] = mine
+    return out
+
+
+def persons(labels: list[str | None]) -> list[int | None]:
+    """The person of each label, as a number, however written; of several that it fits the one named last before counts."""
+    forms = [None if x is None else name_parts(x) for x in labels]
+    return _named(forms, people_of(forms))
+
+
+def _named(forms: list[tuple[str, ...] | None], people: People) -> list[int | None]:
     out: list[int | None] = []
     last: dict[int, int] = {}
     for at, f in enumerate(forms):
-        who = None if not f else max(fits[f], key=lambda i: (last.get(i, -1), -i))
+        who = None if not f else max(people.fits[f], key=lambda i: (people.grade(f, i), last.get(i, -1), -i))
         if who is not None:
             last[who] = at
         out.append(who)
@@ -203,34 +234,81 @@ def persons(labels: list[str | None]) -> list[int | None]:
 # -- turns -----------------------------------------------------------------------------------------------------------
 
 
-def boundary_rows(segments: list[Segment], who: list[int | None]) -> np.ndarray:
-    """A row of features for each segment against the last labelled one before it: label, persons, gap, context."""
-    rows = []
+def boundary_rows(segments: list[Segment], forms: list[tuple[str, ...] | None]) -> tuple[list[tuple], list[tuple[int | None, int | None]]]:
+    """For each segment its features against the last labelled one before it, and (person by the label alone, best other person than the last).
+
+    Features: label missing, how well it names the last person, how well the best other, how many others so well, numbered, of one
+    word; gap, arrows, first, end of a sentence before, small letter, length, segments since the best other was named.
+    """
+    people = people_of(forms)
+    who = _named(forms, people)
+    rows, choices = [], []
     last: int | None = None
-    held: tuple[str, ...] | None = None
-    for i, (s, p) in enumerate(zip(segments, who, strict=True)):
+    named: dict[int, int] = {}
+    for i, (s, f, p) in enumerate(zip(segments, forms, who, strict=True)):
         before = segments[i - 1] if i else None
-        form = name_parts(s.label) if s.label else None
         gap = s.time - before.time if before and s.time is not None and before.time is not None else -1.0
+        others = sorted(((people.grade(f, x), named.get(x, -1), -x) for x in people.fits[f] if x != last), reverse=True) if f else []
+        best = others[0] if others else (0, -1, 1)
         rows.append(
             (
-                s.label is not None,
-                p is not None and p == last,
-                p is not None and last is not None and p != last,
-                form is not None and held is not None and form == held,
-                form is not None and held is not None and _fits(form, held, False),
-                min(gap, 600.0),
-                s.arrows,
-                before is None,
-                last is None,
-                bool(before and before.text.rstrip()[-1:] in ".!?…"),
-                s.text.lstrip()[:1].islower(),
-                min(len(s.text), 500),
+                f is None, people.grade(f, last), best[0], sum(o[0] == best[0] for o in others), bool(f) and f[0] == "#", bool(f) and len(f) == 1,
+                min(gap, 600.0), s.arrows, last is None, bool(before and before.text.rstrip()[-1:] in ".!?…"), s.text.lstrip()[:1].islower(), min(len(s.text), 500),
+                min(i - best[1], 50) if best[1] >= 0 else -1,
             )
-        )
+        )
+        choices.append((p, -best[2] if others else None))
         if p is not None:
-            last, held = p, form
-    return np.array(rows, float)
+            last = p
+            named[p] = i
+    return rows, choices
+
+
+def weakened(form: tuple[str, ...], rnd: random.Random) -> tuple[str, ...]:
+    """Another way to write a name of two or more words: initials, one of the words, a letter swapped; or as it is."""
+    first, rest = form[0], form[-1]
+    swap = rnd.randrange(max(1, len(rest) - 2)) + 1
+    ways = [form, (first[0] + ".", rest), (first, rest[0] + "."), (first,), (rest,), (first[0] + rest[0],), (*form[:-1], rest[:swap] + rest[swap : swap + 2][::-1] + rest[swap + 2 :])]
+    return rnd.choice(ways)
+
+
+def training_rows(content: str) -> tuple[list[tuple], list[int], list[int]]:
+    """(features, whether a turn truly starts, what the labels alone say) of the segments of a transcript some of whose names are weakened.
+
+    What is true comes from the full names and numbers as written; a segment without a label continues, by definition. Only segments
+    that are certain count: with a full name or number and such a one before.
+    """
+    rnd = random.Random(zlib.crc32(content.encode()))
+    segments = parse(content)
+    true = [name_parts(s.label) if s.label else None for s in segments]
+    full = [f is not None and (f[0] == "#" or (len(f) > 1 and all(len(p.rstrip(".")) > 2 for p in f))) for f in true]
+    forms = [weakened(f, rnd) if ok and f[0] != "#" and rnd.random() < 0.6 else f for f, ok in zip(true, full, strict=True)]
+    rows, choices = boundary_rows(segments, forms)
+    xs, ys, plain = [], [], []
+    last: tuple[str, ...] | None = None
+    sure, seen = False, None
+    for f, ok, row, (p, _) in zip(true, full, rows, choices, strict=True):
+        if f is None or (ok and sure and (f == last or not _fits(f, last, False))):
+            xs.append(row)
+            ys.append(int(f is not None and f != last))
+            plain.append(int(p is not None and p != seen))
+        if f is not None:
+            last, sure, seen = f, ok, p
+    return xs, ys, plain
+
+
+def boundary_quality(trees: boost.Trees, contents: list[str]) -> dict[str, tuple[float, float, float]]:
+    """(accuracy, precision, recall) of the starts of turns on weakened transcripts: by the trees, and by the labels alone."""
+    xs, ys, plain = [], [], []
+    for c in contents:
+        for held, more in zip((xs, ys, plain), training_rows(c), strict=True):
+            held += more
+    y = np.array(ys, bool)
+    out = {}
+    for name, said in (("trees", trees.probability(np.array(xs, float)) > 0.5), ("labels", np.array(plain, bool))):
+        both = int((y & said).sum())
+        out[name] = float((y == said).mean()), both / max(1, int(said.sum())), both / max(1, int(y.sum()))
+    return out
 
 
 def squeezed(core: str) -> str:
@@ -240,174 +318,189 @@ def squeezed(core: str) -> str:
 
 @dataclass
 class Fitted:
-    language: Counts
-    #: (language, form) -> (count in transcripts, count in other texts, count in transcripts beside a pause); totals by language.
-    forms: dict[tuple[str, str], tuple[int, int, int]]
-    totals: dict[str, tuple[int, int, int]]
+    language: Model
+    #: Language -> forms that are hesitation sounds.
+    fillers: dict[str, set[str]]
+    #: (language, form) of those forms of any language that its written texts hold.
+    written: set[tuple[str, str]]
     boundary: boost.Trees
-    filler: boost.Trees
 
 
 class Cleaner:
     def __init__(self, fitted: Fitted):
-        self.fitted = fitted
-        self.model: Model = model_of(fitted.language)
-        self._verdicts: dict[tuple, bool] = {}
-
-    def spoken(self, sentence: str, otherwise: str | None) -> str | None:
-        lang, p, n = self.model.classify(sentence)
-        return lang if n >= 3 and p > 0.8 else otherwise or lang
-
-    def filler_rows(self, tokens: list[str], lang: str | None) -> list[tuple[int, tuple]]:
-        """(place, description) of each token that could be a hesitation sound: few letters, no digits."""
-        out = []
-        for i, t in enumerate(tokens):
-            core = _EDGE.sub("", t)
-            if not core or not _LETTERS.match(core):
-                continue
-            form = squeezed(core)
-            if len(form) > FORM_LETTERS:
-                continue
-            tail = t[t.rfind(core) + len(core) :]
-            apart = i > 0 and tokens[i - 1] in "–—-" and i + 1 < len(tokens) and tokens[i + 1] in "–—-"
-            out.append((i, (lang or "", form, min(len(core) - len(form), 5), tail.startswith(","), tail.startswith("..."), apart, core[:1].isupper() and i > 0)))
-        return out
-
-    def features(self, described: tuple) -> tuple[float, ...]:
-        lang, form, stretched, comma, dots, apart, capital = described
-        spoken_all, other_all, _ = self.fitted.totals.get(lang, (0, 0, 0))
-        spoken, other, paused = self.fitted.forms.get((lang, form), (0, 0, 0))
-        here, there = (spoken + 0.5) / (spoken_all + 100), (other + 0.5) / (other_all + 100)
-        return (math.log(here / there), math.log(here), float(spoken), float(other), len(form), len(set(form)), stretched, comma, dots, apart, capital, (paused + 0.1) / (spoken + 1))
-
-    def is_filler(self, described: tuple) -> bool:
-        """The trees' verdict; a worker asks for each form and context once."""
-        if (known := self._verdicts.get(described)) is None:
-            if len(self._verdicts) > 500_000:
-                self._verdicts.clear()
-            known = self._verdicts[described] = bool(self.fitted.filler.probability(np.array([self.features(described)], float))[0] > 0.5)
+        self.fitted, self.model = fitted, fitted.language
+        self.any = set().union(*fitted.fillers.values())
+        self._tokens: dict[str, tuple[str, bool]] = {}
+
+    def token(self, t: str) -> tuple[str, bool]:
+        """(form that could be a hesitation sound or '', whether it holds a letter or digit); a worker looks at each token once."""
+        if (known := self._tokens.get(t)) is None:
+            if len(self._tokens) >= KEEP:
+                self._tokens.clear()
+            known = self._tokens[t] = form_of(t), bool(_HAS_WORD.search(t))
         return known
 
-    def words(self, text: str, lang: str | None = None) -> tuple[int, str | None, list[str]]:
-        """(pieces with a letter or digit, language, pieces) of a text without sound notes and hesitation sounds."""
-        bare = NOTE.sub(" ", text)
-        kept: list[str] = []
-        for sentence in _SPLIT.split(bare):
-            if not sentence or not sentence.strip():
-                continue
-            lang = self.spoken(sentence, lang)
-            tokens = sentence.split()
-            drop = {i for i, described in self.filler_rows(tokens, lang) if self.is_filler(described)}
-            kept += [t for i, t in enumerate(tokens) if i not in drop]
-        return sum(1 for t in kept if _HAS_WORD.search(t)), lang, kept
-
-    def turns(self, content: str) -> list[tuple[int, int, int, float | None, str]]:
-        """(turn, speaker, words, start, text) in order."""
-        segments = parse(content)
-        if not segments:
-            return []
-        who = persons([s.label for s in segments])
-        starts = self.fitted.boundary.probability(boundary_rows(segments, who)) > 0.5
-        out: list[list] = []
-        numbers: dict[int, int] = {}
-        speaker, lang = -1, None
-        for s, p, start in zip(segments, who, starts, strict=True):
-            if start and p is not None:
-                speaker = p
-            n, lang, kept = self.words(s.text, lang)
-            if not n:
+    def words(self, sentence: str, lang: str | None, sure: bool) -> tuple[int, list[str]]:
+        """(pieces with a letter or digit, pieces) of a sentence without hesitation sounds. Where the sentence is too short to tell its
+        language, a sound of any language counts that isn't a written word of the one spoken before."""
+        mine = self.fitted.fillers.get(lang, ())
+        n, kept = 0, []
+        for t in sentence.split():
+            form, word = self.token(t)
+            if form in self.any and (form in mine or (not sure and (lang, form) not in self.fitted.written)):
                 continue
-            if out and out[-1][0] == speaker:
-                out[-1][1] += n
-                out[-1][3] += kept
-            else:
-                numbers.setdefault(speaker, len(numbers) + 1)
-                out.append([speaker, n, s.time, kept])
-        return [(i + 1, numbers[who_], n, time, " ".join(kept)) for i, (who_, n, time, kept) in enumerate(out)]
-
-
-def _form_counts(df: DataFrame, content: str, kind: str, spoken: str, language: Counts) -> tuple[dict, dict]:
-    """Counts of short forms by language, in transcripts and in other texts, over all rows; counted per batch before the shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(language)
+            n += word
+            kept.append(t)
+        return n, kept
+
+    def turns_of(self, contents: Iterator[tuple[object, str]]) -> Iterator[tuple[object, list[tuple[int, int, int, float | None, str]]]]:
+        """(what, [(turn, speaker, words, start, text)] in order) of each content; boundaries and languages are decided for many at once."""
+        held: list[tuple] = []
+        rows: list[tuple] = []
+        for what, content in contents:
+            segments = parse(content)
+            more, choices = boundary_rows(segments, [name_parts(s.label) if s.label else None for s in segments])
+            held.append((what, segments, choices))
+            rows += more
+            if len(rows) >= 2_000:
+                yield from self._flush(held, rows)
+                held, rows = [], []
+        if held:
+            yield from self._flush(held, rows)
+
+    def _flush(self, held: list[tuple], rows: list[tuple]) -> Iterator[tuple[object, list[tuple]]]:
+        starts = iter(self.fitted.boundary.probability(np.array(rows, float)) > 0.5 if rows else ())
+        texts = ((k, [x for s in segments for x in speech(s.text)]) for k, (_, segments, _) in enumerate(held))
+        for k, _, classes in batched(self.model, texts):
+            what, segments, choices = held[k]
+            classes = iter(classes)
+            out: list[list] = []
+            numbers: dict[int, int] = {}
+            speaker, lang = -1, None
+            for s, (person, other) in zip(segments, choices, strict=True):
+                if next(starts) and person is not None:
+                    speaker = person if person != speaker or other is None else other
+                n, kept = 0, []
+                for x in speech(s.text):
+                    found, p, count, _ = next(classes)
+                    sure = count >= 3 and p > 0.8
+                    lang = found if sure else lang or found
+                    more, pieces = self.words(x, lang, sure)
+                    n += more
+                    kept += pieces
+                if not n:
+                    continue
+                if out and out[-1][0] == speaker:
+                    out[-1][1] += n
+                    out[-1][3] += kept
+                else:
+                    numbers.setdefault(speaker, len(numbers) + 1)
+                    out.append([speaker, n, s.time, kept])
+            yield what, [(i + 1, numbers[who], n, time, " ".join(kept)) for i, (who, n, time, kept) in enumerate(out)]
+
+
+def form_of(token: str) -> str:
+    """The form by which a token could be a hesitation sound: few letters, no digits, repeated letters once; else ''."""
+    core = _EDGE.sub("", token)
+    if not core or not _LETTERS.match(core):
+        return ""
+    form = squeezed(core)
+    return form if len(form) <= FORM_LETTERS else ""
+
+
+def speech(text: str) -> list[str]:
+    """The sentences of a segment's text without notes; a line that doesn't end a sentence goes on in the next one."""
+    bare = NOTE.sub(" ", _WRAPPED.sub(" ", text))
+    return [s for s in _SPLIT.split(bare) if s and not s.isspace()]
+
+
+def _form_counts(df: DataFrame, content: str, kind: str, spoken: str, model: Model) -> DataFrame:
+    """(lang, form, a, b, p, k): counts of short forms in transcripts and in other texts, in transcripts beside a pause, and there with a capital
+    inside a sentence; form '' counts all tokens. Over all rows, counted per batch before the shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(F.col(content).cast("string").alias("c"), F.col(kind).alias("k")).filter("c is not null")
     rows = spread(rows)
 
+    def _batch(held: Counter) -> pa.RecordBatch:
+        columns = [[k[j] for k in held] for j in range(3)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(held.values()), pa.int64())], names=["lang", "form", "what", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(shared.value)
         held: Counter = Counter()
-        for batch in batches:
-            for text, kind_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                talk = kind_ == spoken
-                parts = [x for s in parse(text) for x in _SPLIT.split(NOTE.sub(" ", s.text))] if talk else sentences(text, kind_)
-                for s in parts:
-                    lang, p, n = model.classify(s)
-                    if n < 3 or p < 0.9:
+        forms: dict[str, str | None] = {}
+        texts = ((kind_ == spoken, [x for s in parse(text) for x in speech(s.text)] if kind_ == spoken else sentences(text, kind_)) for batch in batches for text, kind_ in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for talk, ss, classes in batched(shared.value, texts):
+            for s, (lang, p, n, _) in zip(ss, classes, strict=True):
+                if n < 3 or p < 0.9:
+                    continue
+                tokens = s.split()
+                for i, t in enumerate(tokens):
+                    if (form := forms.get(t)) is None:
+                        if len(forms) >= KEEP:
+                            forms.clear()
+                        form = forms[t] = form_of(t)
+                    held[lang, "", "a" if talk else "b"] += 1
+                    if not form:
                         continue
-                    tokens = s.split()
-                    for i, t in enumerate(tokens):
-                        core = _EDGE.sub("", t)
-                        if core and _LETTERS.match(core):
-                            held[lang, "", talk, False] += 1
-                            form = squeezed(core)
-                            if len(form) <= FORM_LETTERS:
-                                paused = t.endswith("...") or t.endswith("…") or (0 < i < len(tokens) - 1 and tokens[i - 1] in "–—-" and tokens[i + 1] in "–—-")
-                                held[lang, form, talk, paused] += 1
+                    held[lang, form, "a" if talk else "b"] += 1
+                    if talk:
+                        if t.endswith(("...", "…")) or (0 < i < len(tokens) - 1 and tokens[i - 1] in "–—-" and tokens[i + 1] in "–—-"):
+                            held[lang, form, "p"] += 1
+                        elif i and t[0].isupper():
+                            held[lang, form, "k"] += 1
+            if len(held) > 200_000:
+                yield _batch(held)
+                held.clear()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.array([k[2] for k in held]), pa.array([k[3] for k in held]), pa.array(list(held.values()), pa.int64())], names=["lang", "form", "talk", "paused", "c"])
+            yield _batch(held)
+
+    counted = rows.mapInArrow(run, "lang string, form string, what string, c bigint").groupBy("lang", "form")
+    return counted.agg(*[F.sum(F.when(F.col("what") == x, F.col("c")).otherwise(0)).alias(x) for x in "abpk"])
 
-    counted = rows.mapInArrow(run, "lang string, form string, talk boolean, paused boolean, c bigint").groupBy("lang", "form").agg(F.sum(F.when(F.col("talk"), F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("talk"), F.col("c")).otherwise(0)).alias("b"), F.sum(F.when(F.col("talk") & F.col("paused"), F.col("c")).otherwise(0)).alias("p"))
-    held = counted.filter("a > 0").orderBy(F.expr("form = ''").desc(), F.desc("a"), "lang", "form").limit(FORMS).collect()
-    return {(r["lang"], r["form"]): (r["a"], r["b"], r["p"]) for r in held if r["form"]}, {r["lang"]: (r["a"], r["b"], r["p"]) for r in held if not r["form"]}
+
+def _fillers(counted: DataFrame) -> tuple[dict[str, set[str]], set[tuple[str, str]]]:
+    """The hesitation sounds of each language, and those of any language that a language's written texts hold.
+
+    Trees are fitted on tokens: beside a pause they count for, in written texts or with a capital inside a sentence against. The features tell
+    how much commoner a form is in speech, how common, how long and of how many letters; a sound must have stood beside a pause.
+    """
+    totals = {r["lang"]: (r["a"], r["b"]) for r in counted.filter("form = ''").collect()}
+    if not totals:
+        return {}, set()
+    least = F.create_map(*[F.lit(x) for lang, (a, _) in totals.items() for x in (lang, float(a) * FORM_SHARE)])
+    held = counted.filter("form <> '' and a > 0").filter(F.col("a") >= F.try_element_at(least, F.col("lang"))).collect()  # at most 1 / FORM_SHARE a language
+    if not held:
+        return {}, set()
+
+    def features(r) -> tuple[float, ...]:
+        a, b = totals[r["lang"]]
+        here, there = (r["a"] + 0.5) / (a + 100), (r["b"] + 0.5) / (b + 100)
+        return math.log(here / there), math.log(here), len(r["form"]), len(set(r["form"]))
+
+    x = np.array([features(r) for r in held], float)
+    yes, no = np.array([min(r["p"], 50) for r in held], float), np.array([min(r["b"] + r["k"], 50) for r in held], float)
+    trees = boost.fit(np.vstack([x, x]), np.concatenate([np.ones(len(x)), np.zeros(len(x))]), weight=np.concatenate([yes, no]))
+    fillers: dict[str, set[str]] = {}
+    for r, p in zip(held, trees.probability(x), strict=True):
+        if p > 0.5 and r["p"]:
+            fillers.setdefault(r["lang"], set()).add(r["form"])
+    every = sorted(set().union(*fillers.values()))
+    written = {(r["lang"], r["form"]) for r in counted.filter(F.col("form").isin(every) & (F.col("b") > 0)).collect()} if every else set()
+    return fillers, written
 
 
 def fit(df: DataFrame, keys: list[str], content: str, label: str, kind: str, spoken: str = "transcript", sample: int = SAMPLE) -> Fitted:
-    """Everything that is learnt. The trees' labels come from what is certain in the sample: labels that are equal or can't be
-    one person's, forms that often stand beside a pause and that other texts hardly hold, and forms that don't or do."""
+    """Everything that is learnt: the language model, hesitation sounds by counts of all rows, boundary trees on a bounded sample."""
     language = train(df, content, label, kind)
-    forms, totals = _form_counts(df, content, kind, spoken, language)
-    fitted = Fitted(language, forms, totals, boost.Trees(), boost.Trees())
-    order = F.xxhash64(*keys)
-    some = df.filter((F.col(kind) == spoken) & F.col(content).isNotNull()).orderBy(order, content).limit(sample).select(content).collect()
-    cleaner = Cleaner(fitted)
-    xs, ys, fx, fy = [], [], [], []
+    fillers, written = _fillers(cut(_form_counts(df, content, kind, spoken, language)))
+    some = df.filter((F.col(kind) == spoken) & (F.length(content) <= SAMPLE_CHARS)).orderBy(F.xxhash64(content), content).limit(sample).select(content).collect()
+    xs: list[tuple] = []
+    ys: list[int] = []
     for (text,) in some:
-        segments = parse(text)
-        if not segments:
-            continue
-        who = persons([s.label for s in segments])
-        rows = boundary_rows(segments, who)
-        for r, s in zip(rows, segments, strict=True):
-            if s.label is None:
-                xs.append(r)
-                ys.append(0)
-            elif r[8] or r[3] or r[2]:
-                xs.append(r)
-                ys.append(0 if r[3] and not r[8] else 1)
-        lang = None
-        for s in segments:
-            for sentence in _SPLIT.split(NOTE.sub(" ", s.text)):
-                lang = cleaner.spoken(sentence, lang) if sentence.strip() else lang
-                for _, described in cleaner.filler_rows(sentence.split(), lang):
-                    r = cleaner.features(described)
-                    if r[0] > 3 and r[2] >= 3 and r[4] <= 5 and r[11] > 0.1:
-                        fx.append(r)
-                        fy.append(1)
-                    elif r[0] < 2.5 or r[11] < 0.05:
-                        fx.append(r)
-                        fy.append(0)
-    fitted.boundary = boost.fit(np.array(xs, float), np.array(ys)) if xs else boost.Trees(0.0)
-    fitted.filler = boost.fit(np.array(fx[:TOKENS], float), np.array(fy[:TOKENS])) if fx else boost.Trees(-9.0)
-    return fitted
-
-
-_cleaners: dict[int, Cleaner] = {}
-
-
-def cleaner_of(fitted: Fitted) -> Cleaner:
-    if id(fitted) not in _cleaners:
-        _cleaners.clear()
-        _cleaners[id(fitted)] = Cleaner(fitted)
-    return _cleaners[id(fitted)]
+        more, starts, _ = training_rows(text)
+        xs += more
+        ys += starts
+    return Fitted(language, fillers, written, boost.fit(np.array(xs, float), np.array(ys)) if xs else boost.Trees(9.0))
 
 
 def turns(df: DataFrame, keys: list[str], content: str, label: str, kind: str, spoken: str = "transcript", fitted: Fitted | None = None, with_text: bool = False) -> DataFrame:
@@ -426,11 +519,10 @@ def turns(df: DataFrame, keys: list[str], content: str, label: str, kind: str, s
     head = ", ".join(f"{n} {kinds[k]}" for k, n in zip(keys, names, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cleaner = cleaner_of(shared.value)
+        cleaner = Cleaner(shared.value)
         for batch in batches:
             at, out = [], []
-            for i, text in enumerate(batch.column(m).to_pylist()):
-                found = cleaner.turns(text)
+            for i, found in cleaner.turns_of(enumerate(batch.column(m).to_pylist())):
                 at += [i] * len(found)
                 out += found
             columns = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(m)]

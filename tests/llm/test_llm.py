@@ -38,7 +38,7 @@ def test_language(spark):
     out = language.languages(df, ["sha256", "n"], "content", "language", "kind").filter("n_langs > 1 or not coalesce(named, false)")
     got = {(r.sha256[0], r.lang) for r in out.filter("length(sha256) = 64 and sha256 rlike '^(.)\\\\1+$'").collect()}
     assert {("a", "de"), ("b", "en"), ("c", "en"), ("c", "pt")} <= got and not {x for x in got if x[0] in "def1"}
-    segments = language.languages(df.filter(F.col("sha256") == "c" * 64), ["sha256", "n"], "content", "language", "kind", counts=language.train(df, "content", "language", "kind"), segments=True)
+    segments = language.languages(df.filter(F.col("sha256") == "c" * 64), ["sha256", "n"], "content", "language", "kind", model=language.train(df, "content", "language", "kind"), segments=True)
     assert [(r.segment, r.lang) for r in segments.orderBy("segment").collect()] == [(0, "en"), (1, "pt")]
     assert segments.filter("confidence < 0 or confidence > 1").count() == 0
 
@@ -85,6 +85,32 @@ def test_transcript_turns(spark):
     assert transcripts.turns(df.filter(F.lit(False)), ["sha256", "n"], "content", "language", "kind").count() == 0
 
 
+def test_people_and_boundaries():
+    # a shortened name goes to the person one of whose forms it fits exactly, not to one a letter away
+    assert len(set(transcripts.persons(["Dr. Rador", "Jorlo Sador", "Yor Raodr", "Y. Rador"])[i] for i in (0, 2, 3))) == 1
+    assert len(set(transcripts.persons(["Olsel N.", "O. Nota", "Olsel"]))) == 1
+    rnd = random.Random(3)
+    names = ["Anna Berg", "Carl Holm", "Dora Lind", "Egon Falk"]
+    texts = []
+    for _ in range(120):
+        who = rnd.sample(names, 3)
+        texts.append("\n".join(f"[00:{k:02d}:00] {rnd.choice(who)}: {' '.join(rnd.sample(EN.split(), 8))}." for k in range(12)))
+    xs, ys, _ = (sum(x, []) for x in zip(*map(transcripts.training_rows, texts[:80]), strict=True))
+    trees = boost.fit(np.array(xs, float), np.array(ys))
+    quality = transcripts.boundary_quality(trees, texts[80:])
+    assert min(quality["trees"]) > 0.97 and quality["trees"][0] >= quality["labels"][0] - 0.01
+
+
+def test_language_of_a_long_text(spark):
+    df = layers(spark)
+    model = language.train(df, "content", "language", "kind")
+    long = " ".join([DE] * 9000)
+    assert model.classify_all([EN, "", long, PT])[2][::2] == ("de", len(language._WORD.findall(long)))
+    assert [x[0] for x in model.classify_all([EN, "", "123", PT])] == ["en", None, None, "pt"]
+    some = language.sample_of(df, "content", F.col("kind"), language.code_column(F.col("language")), 5)
+    assert 0 < some.filter("label = 'de'").count() < 25 and set(some.columns) == {"content", "kind", "label"}
+
+
 def test_boost():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(3000, 4))
