@@ -20,7 +20,7 @@ def _manifests(spark: SparkSession, d: str, things_only: bool = False) -> DataFr
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(_manifests(spark, d, things_only=True)).withColumnRenamed("record", "manifest_id").distinct()
+    return nodes(_manifests(spark, d, things_only=True)).withColumnRenamed("record", "manifest_id")
 
 
 def p5_layers(spark: SparkSession, d: str) -> DataFrame:

@@ -4,10 +4,11 @@ import json
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from sediment.operators import snapshot_diff
-from sediment.operators.nested import flat_table, nodes, triples
+from sediment.operators.nested import flat_table, nodes, parse, parse_deep, triples
 from sediment.operators.snapshot_diff import snapshot_changes
 
 SCHEMA = "archive string, generation int, path string, loaded_at timestamp, size bigint, sha256 binary, version int, late boolean, `key` string"
@@ -95,7 +96,7 @@ def test_nested_places(spark):
 
 def test_nested_shapes(spark):
     inner = {"file": "f", "description": "d", "layers": json.dumps([{"type": "ocr"}])}
-    assert found(spark, json.dumps({"manifest": inner}), json.dumps(json.dumps(inner)), None, "", "nope", '{"a": NaN}', '{"file": 1,}') == sorted((i, n, "") for i in (0, 1) for n in ("description", "layers/0"))
+    assert found(spark, json.dumps({"manifest": inner}), json.dumps(json.dumps(inner)), None, "", "nope", '{"a": NaN}', '{"file": 1,}') == sorted((i, n, "") for i in (0, 1) for n in ("description/0", "layers/0"))
 
 
 def test_nested_deep_and_long(spark):
@@ -106,6 +107,26 @@ def test_nested_deep_and_long(spark):
     assert len(got) == 152
 
 
+def test_parse_piece_by_piece():
+    good = ['{"a": [1, -2.50, 1e5, true, null, "x\\u00e9\\"\\n"], "b": {}, "c": [[], {"d": ""}], "a": 0}', " [] ", '"x"', "12", "null"]
+    bad = ["", "[1,]", "[1", "{,}", '{"a" 1}', '{"a":}', "01", "[1]]", "1 2", "{1:2}", "nul", '"\n"', "[}", '{"a":1,}', "]", "[,1]"]
+    for t in good:
+        assert parse_deep(t) == parse(t) == json.loads(t, parse_int=str, parse_float=str)
+    for t in bad:
+        with pytest.raises(ValueError):
+            parse_deep(t)
+        assert parse(t) is None
+
+
+def test_nested_without_bound(spark):
+    n, m = 30_000, 1_500
+    body = '{"file": "f", "x": ' + "[" * n + "1" * 6000 + "]" * n + ', "description": "d", "layers": ' + '[{"derived": ' * m + "[]" + "}]" * m + "}"
+    df = spark.createDataFrame([(1, body)], "manifest_id bigint, body string")
+    got = triples(df, "manifest_id", "body")
+    assert got.filter("kind = 'layer' and field = ''").count() == m
+    assert got.filter("field = 'x'").select(F.length("value")).first()[0] in (2 * n + 6000, 2 * n + 6002)
+
+
 def test_flat_table_twice(spark):
     body = json.dumps({"file": "f", "layers": [{"type": "ocr", "file": "a"}, {"type": "ocr", "file": "a"}]})
     df = spark.createDataFrame([(1, body), (1, body)], "manifest_id bigint, body string")
