@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.runtime import cut
+from sediment.runtime import cut, small_or_not
 
 #: Width of a fingerprint; a probe of one of n distinct keys is wrong with probability below n / 2**BITS.
 BITS = 48
-#: Distinct keys in one partition, on average.
+#: Rows of history and records for one partition, so that it holds at most about as many keys.
 PARTITION_KEYS = 150_000
-#: New keys that are merged in one batch.
-BATCH_KEYS = 32_768
+#: Batches that the records are cut into, by equal steps of their order.
+BATCHES = 32
 
 
 class EliasFano:
@@ -147,70 +147,102 @@ def build_filter(keys: DataFrame, key: str, partitions: int, bits: int = BITS) -
     return prints.groupBy("part").applyInPandas(code, "part int, n bigint, bits int, low_bits int, low binary, high binary")
 
 
-def firsts(records: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, first): each distinct non-null key with its first record."""
-    return records.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(order).alias("first"))
+class Layers:
+    """Coded sets of growing size. A new batch becomes a set of its own and is merged with the sets before it that aren't larger, so
+    each value is merged a logarithmic number of times."""
+
+    def __init__(self, first: EliasFano):
+        self.sets = [first]
+
+    def contains(self, probes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(probes), bool)
+        for s in self.sets:
+            out |= s.contains(probes)
+        return out
+
+    def add(self, values: np.ndarray) -> None:
+        """values: sorted, distinct."""
+        if not len(values):
+            return
+        bits = self.sets[0].bits
+        while len(self.sets) > 1 and self.sets[-1].n <= 2 * len(values):
+            values = np.union1d(values, self.sets.pop().values())
+        self.sets.append(EliasFano.of(values, bits))
+
+
+def batch_firsts(records: DataFrame, key: str, order: str, batches: int = BATCHES) -> DataFrame:
+    """(key, batch, first): the first record of each non-null key in each batch of the order."""
+    rows = records.filter(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("o"))
+    lo, hi = rows.agg(F.min("o"), F.max("o")).first()
+    # in doubles, so that no difference overflows; batches keep the order all the same
+    step = F.floor((F.col("o").cast("double") - float(lo or 0)) / max(1.0, float(hi or 0) - float(lo or 0) + 1) * batches).cast("int")
+    return rows.groupBy("key", step.alias("batch")).agg(F.min("o").alias("first"))
 
 
 def probe(coded: DataFrame, first: DataFrame, partitions: int, bits: int = BITS) -> DataFrame:
-    """(key, first, seen): whether each first record's fingerprint was in the coded set or came in before.
+    """(key, first, fresh, seen) of each key's first record in each batch: whether its fingerprint was in the coded set or came in with an
+    earlier batch; fresh tells a key's very first record.
 
-    The records of a partition are taken in their order, in batches: each is probed against the coded set, then merged into it.
+    The batches of a partition are taken in order: each is probed against the coded sets, then merged into them.
     """
-    probes = first.select(partition_of(F.col("key"), partitions).alias("part"), "key", "first", fingerprint(F.col("key"), bits).alias("fp"))
+    probes = first.select(partition_of(F.col("key"), partitions).alias("part"), "key", "batch", "first", fingerprint(F.col("key"), bits).alias("fp"))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ef = EliasFano(int(left["n"].iloc[0]), int(left["bits"].iloc[0]), int(left["low_bits"].iloc[0]), left["low"].iloc[0], left["high"].iloc[0]) if len(left) else EliasFano.of(np.zeros(0, np.uint64), bits)
+        sets = Layers(EliasFano(int(left["n"].iloc[0]), int(left["bits"].iloc[0]), int(left["low_bits"].iloc[0]), left["low"].iloc[0], left["high"].iloc[0]) if len(left) else EliasFano.of(np.zeros(0, np.uint64), bits))
         right = right.sort_values("first", kind="stable")
-        fp = right["fp"].to_numpy().astype(np.uint64)
+        fp, batch = right["fp"].to_numpy().astype(np.uint64), right["batch"].to_numpy()
         seen = np.zeros(len(fp), bool)
-        for at in range(0, len(fp), BATCH_KEYS):
-            batch = fp[at : at + BATCH_KEYS]
-            _, once = np.unique(batch, return_index=True)
-            again = np.ones(len(batch), bool)
+        edges = np.flatnonzero(np.diff(batch, prepend=-1, append=-1)) if len(batch) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            values, once = np.unique(fp[a:b], return_index=True)
+            again = np.ones(b - a, bool)
             again[once] = False
-            seen[at : at + BATCH_KEYS] = ef.contains(batch) | again
-            ef = ef.merged(np.sort(batch[once]))
-        return pd.DataFrame({"key": right["key"], "first": right["first"], "seen": seen})
+            seen[a:b] = sets.contains(fp[a:b]) | again
+            sets.add(values)
+        return pd.DataFrame({"key": right["key"], "first": right["first"], "fresh": ~right["key"].duplicated(), "seen": seen})
 
-    return coded.groupBy("part").cogroup(probes.groupBy("part")).applyInPandas(answer, "key binary, first bigint, seen boolean")
+    return coded.groupBy("part").cogroup(probes.groupBy("part")).applyInPandas(answer, "key binary, first bigint, fresh boolean, seen boolean")
 
 
-def partitions_for(history: DataFrame, key: str) -> int:
-    """From a count of the history's rows, an upper bound of its distinct keys."""
-    return max(8, -(-history.select(key).count() // PARTITION_KEYS))
+def partitions_for(history: DataFrame, history_key: str, records: DataFrame, key: str) -> int:
+    """From the rows of both sides, an upper bound of their keys."""
+    return max(8, -(-(history.select(history_key).count() + records.select(key).count()) // PARTITION_KEYS))
 
 
 def seen_before(history: DataFrame, history_key: str, records: DataFrame, key: str, order: str, bits: int = BITS, exact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(found, answers): the order numbers of records whose key is in history or belongs to an earlier record; and of
-    each distinct key (key, first, seen, held): the coded set's answer and, with exact, whether history truly holds it.
+    """(found, answers): the order numbers of records whose key is in history or belongs to an earlier record; and of each key's first
+    record in each batch (key, first, fresh, seen, held): the coded set's answer and, with exact, whether the key truly occurred before.
 
-    keys are binary; order is unique. Null keys are no case. Only a false yes is possible; the exact check takes the
-    keys answered yes to the history once more and so removes it. A later record of a key is a yes by its first one.
+    keys are binary; order is unique. Null keys and orders are no case. Only a false yes is possible; the exact check takes the
+    fresh keys answered yes to the history once more and so removes it: where they are few, the history is only scanned. Within
+    a batch a key's later records are a yes by its first one there.
     """
-    parts = partitions_for(history, history_key)
+    parts = partitions_for(history, history_key, records, key)
     coded = build_filter(history, history_key, parts, bits)
-    answers = cut(probe(coded, firsts(records, key, order), parts, bits))
+    answers = cut(probe(coded, batch_firsts(records, key, order), parts, bits))
     if exact:
-        held = history.filter(F.col(history_key).isNotNull()).select(F.col(history_key).alias("key")).distinct().withColumn("held", F.lit(True))
-        yes = answers.filter("seen").join(held, "key", "left").select("key", "first", "seen", F.coalesce("held", F.lit(False)).alias("held"))
+        asked = small_or_not(answers.filter("seen and fresh").select("key"))
+        known = history.filter(F.col(history_key).isNotNull()).select(F.col(history_key).alias("key")).join(asked, "key", "left_semi").distinct().withColumn("held", F.lit(True))
+        yes = answers.filter("seen and fresh").join(known, "key", "left").select("key", "first", "fresh", "seen", F.coalesce("held", F.lit(False)).alias("held"))
         new = answers.filter("not seen").select("first").unionByName(yes.filter("not held").select("first"))
-        answers = answers.filter("not seen").withColumn("held", F.lit(False)).unionByName(yes)
+        answers = answers.filter("not (seen and fresh)").withColumn("held", ~F.col("fresh")).unionByName(yes)
     else:
         new = answers.filter("not seen").select("first")
-    rows = records.filter(F.col(key).isNotNull()).select(F.col(order).alias("__order"))
+    rows = records.filter(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(order).alias("__order"))
     found = rows.join(new, rows["__order"] == new["first"], "left_anti").select(F.col("__order").alias(order))
     return found, answers
 
 
 def wrong_answers(answers: DataFrame, history_keys: int, bits: int = BITS) -> DataFrame:
-    """(probes, yes, wrong, wrong_rate, bound): measured rate of false yes among keys not in history, and its bound n / 2**bits."""
+    """(probes, yes, wrong, wrong_rate, bound): measured rate of false yes among keys that hadn't occurred, and its bound: the keys of
+    history and those merged on the way, over 2**bits."""
+    wrong, new = F.count_if(F.col("seen") & ~F.col("held")), F.count_if(~F.col("held"))
     return answers.agg(
         F.count("*").alias("probes"),
         F.count_if("seen").alias("yes"),
-        F.count_if(F.col("seen") & ~F.col("held")).alias("wrong"),
-        F.coalesce(F.try_divide(F.count_if(F.col("seen") & ~F.col("held")).cast("double"), F.count_if(~F.col("held")).cast("double")), F.lit(0.0)).alias("wrong_rate"),
-        F.lit(history_keys / 2.0**bits).alias("bound"),
+        wrong.alias("wrong"),
+        F.coalesce(F.try_divide(wrong.cast("double"), new.cast("double")), F.lit(0.0)).alias("wrong_rate"),
+        ((F.lit(history_keys) + F.count_if("fresh")) / 2.0**bits).alias("bound"),
     )
 
 

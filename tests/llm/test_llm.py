@@ -154,10 +154,23 @@ def test_seen_before(spark):
         assert (rate.wrong > 0) == (bits == 6)
     assert seen.seen_before(h.filter(F.lit(False)), "sha256", r, "key", "seq")[0].count() == sum(k is not None for _, k in incoming) - len({k for _, k in incoming if k})
     assert seen.seen_before(h, "sha256", r.filter(F.lit(False)), "key", "seq")[0].count() == 0
+    assert answers.filter("not fresh and not seen").count() == 0  # a key that came in with an earlier batch is found in the coded sets
+    assert answers.groupBy("key").count().agg(F.max("count")).first()[0] <= seen.BATCHES
     coded = seen.merge_batch(seen.build_filter(h, "sha256", 8), r, "key", 8)
     assert coded.agg(F.sum("n")).first()[0] == len(known)
 
 
+def test_layers_of_coded_sets():
+    rnd = np.random.default_rng(7)
+    sets, held = seen.Layers(seen.EliasFano.of(np.zeros(0, np.uint64), 20)), np.zeros(0, np.uint64)
+    for n in (5, 100, 3, 0, 40, 700, 1, 60):
+        v = np.unique(rnd.integers(0, 2**20, n, dtype=np.uint64))
+        assert (sets.contains(v) == np.isin(v, held)).all()
+        sets.add(v)
+        held = np.union1d(held, v)
+    assert sets.contains(held).all() and len(sets.sets) < 6
+
+
 def test_digest_notations(spark):
     d = hashlib.sha256(b"x").digest()
     import base64
