@@ -173,7 +173,7 @@ class Layers:
 def batch_firsts(records: DataFrame, key: str, order: str, batches: int = BATCHES) -> DataFrame:
     """(key, batch, first): the first record of each non-null key in each batch of the order."""
     rows = records.filter(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("o"))
-    lo, hi = rows.agg(F.min("o"), F.max("o")).first()
+    lo, hi = records.agg(F.min(order).cast("bigint"), F.max(order).cast("bigint")).first()  # of all records, so that no key is worked out for it
     # in doubles, so that no difference overflows; batches keep the order all the same
     step = F.floor((F.col("o").cast("double") - float(lo or 0)) / max(1.0, float(hi or 0) - float(lo or 0) + 1) * batches).cast("int")
     return rows.groupBy("key", step.alias("batch")).agg(F.min("o").alias("first"))
