@@ -53,6 +53,8 @@ ODDS = 3
 #: For words without a pattern: a restored form is taken if its letters are so many nats likelier in all than those that stand there, and so
 #: many on average; where trigrams are counted in fewer than RARE of the texts, their number hardly matters.
 LETTER_NATS, LETTER_MEAN, RARE = 8.0, 2.5, 1e-4
+#: A letter that stands alone in at most this share of the texts that the commonest trigram has may be a garbled dash.
+LONE = 0.01
 #: A text can be garbled so many times over.
 ROUNDS = 4
 #: Punctuation and signs that ordinary texts hold (a fixed list).
@@ -109,6 +111,9 @@ def utf8_patterns() -> dict[str, list[tuple[str, str]]]:
         for first, last in BLOCKS:
             for point in range(first, last + 1):
                 seq = [to.get(b) for b in chr(point).encode()]
+                if seq[-1] == "\xa0" and len(seq) == 2 and seq[0].isalpha():
+                    # the fixed space of a garbled letter often ends as a plain one; before another space nothing else can stand there
+                    out.setdefault(seq[0] + "  ", []).append((x, chr(point) + " "))
                 if None not in seq and not (len(seq) > 2 and chr(point) not in twice and all("Ѐ" <= c <= "ӿ" for c in seq)):
                     out.setdefault("".join(seq), []).append((x, chr(point)))
     return out
@@ -179,7 +184,7 @@ class Restorer:
         for end, (seq, values) in self.utf8.iter(text):
             start = end - len(seq) + 1
             for x, c in values:
-                if c not in self.likely and seq.isalpha():
+                if (c not in self.likely and seq.isalpha()) or (seq[-1] == " " and text[start - 1 : start].isalpha()):
                     continue
                 mine = found.setdefault(x, {})
                 if start not in mine or mine[start][0] < end + 1:
@@ -217,12 +222,15 @@ class Restorer:
         around = text[s - 1 : s] + text[e : e + 1]
         return bool(other) and any(x.isalpha() and ord(x) > 127 for x in around)
 
-    def _box(self, text: str, s: int, e: int, c: str) -> bool:
-        """Whether a run of box-drawing characters is a drawing: not a word, nor an ordinary letter inside one or a Cyrillic one alone."""
+    def _box(self, text: str, s: int, e: int, c: str, beside: bool = False) -> bool:
+        """Whether a run of box-drawing characters is a drawing: not a word, nor an ordinary letter inside one or a Cyrillic one alone.
+        beside: the text holds other garbled spans, so that signs count too unless drawn lines go on before or after."""
         if not all("─" <= x <= "▟" for x in text[s:e]):
             return False
         if not set(c) <= self.chars:
             return True
+        if beside and not any("─" <= x <= "▟" for x in text[s - 1 : s] + text[e : e + 1]):
+            return False
         if text[s - 1 : s].isalpha() or text[e : e + 1].isalpha():
             return False
         return not (c.isalpha() and (len(c) > 1 or c >= "Ѐ"))
@@ -241,11 +249,11 @@ class Restorer:
         shown = [self._shown(text, runs, k) for k in range(len(runs))]
         # two Cyrillic letters also stand in right texts, as do a quote and a letter that would make one: they need a longer run in the text
         shown = [sh or self._box(text, *run) for sh, run in zip(shown, runs, strict=True)]
-        strong = [not sh and (len(c) > 1 or not all("Ѐ" <= x <= "ӿ" for x in text[s:e])) and (len(c) > 1 or not "Ѐ" <= c <= "ӿ" or x in ("web", "latin-1")) for sh, (s, e, c) in zip(shown, runs, strict=True)]
+        strong = [not sh and c[-1] != " " and (len(c) > 1 or not all("Ѐ" <= x <= "ӿ" for x in text[s:e])) and (len(c) > 1 or not "Ѐ" <= c <= "ӿ" or x in ("web", "latin-1")) for sh, (s, e, c) in zip(shown, runs, strict=True)]
         if not any(strong):
             return text, False
         # beside truly garbled spans, one in quotes is garbled too, unless the text says that it shows it
-        shown = [sh and (self._box(text, *run) or bool(_SHOWS.search(text[max(0, run[0] - 60) : run[0]]))) for sh, run in zip(shown, runs, strict=True)]
+        shown = [sh and (self._box(text, *run, beside=True) or bool(_SHOWS.search(text[max(0, run[0] - 60) : run[0]]))) for sh, run in zip(shown, runs, strict=True)]
         out, at = [], 0
         for (s, e, c), sh in zip(runs, shown, strict=True):
             if not sh:
@@ -259,6 +267,10 @@ class Restorer:
     def _known(self, token: str, of=max) -> int:
         return of((self.counts.get(w.lower(), 0) for w in _WORDS.findall(token) if len(w) > 1 or w.lower() in _WORD_LETTERS), default=0)
 
+    def _dash(self, token: str, turned: str) -> bool:
+        """Whether a letter that stands alone, and in few texts does, would be a dash."""
+        return len(token) == 1 and token.isalpha() and turned in _DASHES and self.counts.get(token.lower(), 0) <= LONE * self.letters.get("", 0)
+
     def _from_bytes(self, text: str) -> tuple[str, bool]:
         votes: Counter = Counter()
         hits: dict[tuple[str, str], list[int]] = {}
@@ -271,6 +283,11 @@ class Restorer:
                 for true, wrong, _ in values:
                     votes[true, wrong] += len(seq)
                     hits.setdefault((true, wrong), []).append(start)
+        for m in _IN_SIGNS.finditer(text):
+            for true, wrong in SINGLE_BYTE if m[1] + m[2] not in _PAIRED else ():
+                if swap(m[1] + m[2], wrong, true) in _PAIRED:
+                    votes[true, wrong] += 2
+                    hits.setdefault((true, wrong), []).append(m.start())
         if not votes:
             return text, False
         top = [p for p in SINGLE_BYTE if votes[p] == max(votes.values())]
@@ -292,12 +309,16 @@ class Restorer:
                 continue
             tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(unit) if not m[0].isascii()]
             turned = [swap(t, wrong, true) for _, _, t in tokens]
-            if not n and not all(v is not None and (foreign(t, v) or not self._known(t, min)) and (self._known(v) or set(v) - _ASCII <= self.chars) and v != t for v, (_, _, t) in zip(turned, tokens, strict=True)):
+            if not n and not all(v is not None and (foreign(t, v) or self._dash(t, v) or not self._known(t, min)) and (self._known(v) or set(v) - _ASCII <= self.chars) and v != t for v, (_, _, t) in zip(turned, tokens, strict=True)):
                 continue
             for v, (a, b, t) in zip(turned, tokens, strict=True):
-                if v is None or v == t or (self._known(t, min) > self._known(v) and not foreign(t, v)) or (self._known(t, min) and foreign(v, t)):
+                if v is None or v == t:
+                    continue
+                if not self._dash(t, v) and ((self._known(t, min) > self._known(v) and not foreign(t, v)) or (self._known(t, min) and foreign(v, t))):
                     continue
-                if (set(t) - _ASCII <= SIGNS or set(t) - _ASCII <= _LINES) and not (_LATIN.search(t) and self._known(v)) and not any(s + a <= p < s + b for p in places):
+                # signs alone prove nothing, but one sign for a line inside a token of a garbled sentence isn't a drawing
+                sign = n and set(v) - _ASCII <= SIGNS and set(t) & _ASCII and len(set(t) - _ASCII) == 1
+                if (set(t) - _ASCII <= SIGNS or set(t) - _ASCII <= _LINES) and not sign and not (_LATIN.search(t) and self._known(v)) and not any(s + a <= p < s + b for p in places):
                     continue
                 if not self._known(v) and not set(v) - _ASCII <= self.chars:
                     continue
@@ -377,6 +398,10 @@ _ASCII = {chr(i) for i in range(128)}
 _LINES = {chr(i) for i in range(0x2500, 0x2580)}
 _EDGES = "".join(SIGNS | {chr(i) for i in range(128) if not chr(i).isalnum()})
 _LATIN = re.compile("[A-Za-z]")
+#: Signs that open and close a quotation together, and dashes (fixed lists).
+_PAIRED, _DASHES = {"“”", "‘’", "„“", "‚‘", "«»", "‹›", "„”", "”“"}, {"–", "—"}
+#: A piece of ASCII between two other characters, as garbled quotation marks leave it.
+_IN_SIGNS = re.compile(r"(?<![^\s(])([^\x00-\x7f])(?=[\x21-\x7e]*[A-Za-z0-9])[\x21-\x7e]+([^\x00-\x7f])(?=[\s.,;:!?)]|$)")
 _OPEN, _CLOSE = set("“\"‘'«„`‹"), set("”\"’'»“`›")
 #: Letters that are words by themselves in some language (a fixed list).
 _WORD_LETTERS = set("àáéèêóòôíìåöäüúùßияівокусєї")

@@ -262,6 +262,23 @@ def test_garbled_pairs():
                 assert r.restore(g) == (t, True, False), (true, wrong, g)
 
 
+def test_garbled_signs():
+    counts = {w: 50 for t in GOOD for w in map(str.lower, language._WORD.findall(t)) if not w.isascii()}
+    r = garbled.Restorer(counts, {" é ": 900, "": 900})
+    wrong = lambda t, x: "".join(c if ord(c) < 128 else "".join(garbled.tables(x)[0][b] for b in c.encode()) for c in t)
+    for t in ("The index holds “27” entries – no more.", "It takes about „paths,“ so — it says."):
+        for true, other in (("web", "mac_roman"), ("web", "cp437")):
+            g = garbled.swap(t, true, other)
+            if g:
+                assert r.restore(g) == (t, True, False), g
+    t = "Das Café öffnet früh (±5 %), «endlich,» sagt er (½)."
+    assert r.restore(wrong(t, "cp437")) == (t, True, False)
+    t = "Le café est déjà fermé, trouvés à Lille."
+    assert r.restore(wrong(t, "web").replace("\xa0", " ").replace("dÃ©jÃ ", "dÃ©jÃ\xa0")) == (t, True, False)
+    for t in ("galven/\n├── a.txt\n└── b/ ┬▒", "Ñandú ë o í, à é", "┌──────┬──────┐\n│ 5 │"):
+        assert r.restore(t)[1] is False, t
+
+
 def test_garbled_rows(spark):
     shown = ["The viewer shows “Ã©” where the file has “é”, and “â€™” for an apostrophe.", "Bytes C3 A9 shown as Latin text give Ã© (see §91).", "galven/\n├── a.txt\n└── b/", "ATENÇÃO: NÃO HÁ CÓPIA. REVISÃO Â."]
     rows = [(1, None), (2, ""), (3, "plain"), (4, "La cafÃ© est lÃ ".replace("lÃ ", "lÃ\xa0")), (5, "caf� noir"), (6, "x" * 300_000 + " cafÃ©"), (6, "x" * 300_000 + " cafÃ©"), *((10 + i, t) for i, t in enumerate(shown)), *((20 + i, t) for i, t in enumerate(GOOD))]
