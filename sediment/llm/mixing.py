@@ -17,10 +17,14 @@ from sediment.llm.language import code_column
 from sediment.llm.tokenizer import encode
 from sediment.runtime import cut
 
-#: Most frequent topics that are told apart; the others are one. Likewise languages.
+#: Topics that the marginals tell apart, those with most tokens; documents of the others are raked as one topic. Likewise languages.
+#: No document is left out by them.
 TOPICS, LANGS = 20, 30
+#: Targets that a mixture can have; more are refused.
+TARGETS = 100_000
 ITERATIONS = 60
-#: Bins of the sampling order a source; the bin that the target falls into is then ordered exactly.
+#: Bins of the sampling order a source, and of the bin that the target falls into; only the bin of a bin is then ordered exactly, one
+#: row in sixteen million of a source.
 BINS = 4096
 
 
@@ -87,7 +91,9 @@ def mixture(docs: DataFrame, targets: DataFrame, size: float | None = None) -> t
     given = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).filter(
         "source is not null and target_share > 0 and max_repeats > 0"
     )
-    goal = {r["source"]: (r["target_share"], r["max_repeats"]) for r in given.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(10_000).collect()}
+    goal = {r["source"]: (r["target_share"], r["max_repeats"]) for r in given.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(TARGETS + 1).collect()}
+    if len(goal) > TARGETS:
+        raise ValueError(f"more than {TARGETS} targets")
     spark = docs.sparkSession
     names = sorted(goal)
     usable = docs.filter(F.col("source").isin(names) & (F.col("tokens") > 0))
@@ -123,23 +129,37 @@ def mixture(docs: DataFrame, targets: DataFrame, size: float | None = None) -> t
     # a fixed random number in (0, 1] for each document, against the part of a copy it is due
     u = (F.pmod(F.xxhash64("doc"), F.lit(1 << 40)).cast("double") + 1) / float(1 << 40)
     ranked = usable.join(rates, ["source", "lang", "topic"]).withColumn("order", F.when(F.col("part") > 0, u / F.col("part")))
-    ranked = ranked.withColumn("bin", F.floor(F.col("order") / (1 + F.col("order")) * BINS).cast("int"))
-    held = ranked.filter("order is not null").groupBy("source", "bin").agg(F.sum("tokens").alias("t")).collect()  # at most sources x BINS
-    edge: dict[str, tuple[int, float]] = {}
-    for s in have:
-        left, at = wanted.get(s, 0.0), 0
-        for b, t in sorted((r["bin"], r["t"]) for r in held if r["source"] == s):
-            if t > left:
-                break
-            left -= t
-            at = b + 1
-        edge[s] = (at, left)
-    edges = F.broadcast(spark.createDataFrame([(s, b, float(left)) for s, (b, left) in edge.items()], "source string, edge int, budget double"))
-    placed = ranked.join(edges, "source")
+    place = F.col("order") / (1 + F.col("order")) * BINS
+    ranked = ranked.withColumn("bin", F.floor(place).cast("int")).withColumn("inner", F.floor((place - F.col("bin")) * BINS).cast("int"))
+
+    def reached(rows: DataFrame, column: str, budget: dict[str, float]) -> dict[str, tuple[int, float]]:
+        """The bin of each source in which its budget ends, and what is left of it there; at most sources x BINS rows are collected."""
+        held: dict[str, list[tuple[int, int]]] = {}
+        for r in rows.groupBy("source", column).agg(F.sum("tokens").alias("t")).collect():
+            held.setdefault(r["source"], []).append((r[column], r["t"]))
+        out = {}
+        for s in have:
+            left, at = budget.get(s, 0.0), 0
+            for b, t in sorted(held.get(s, ())):
+                if t > left:
+                    at = b
+                    break
+                left -= t
+                at = b + 1
+            out[s] = (at, left)
+        return out
+
+    edge = reached(ranked.filter("order is not null"), "bin", wanted)
+    edges = F.broadcast(spark.createDataFrame([(s, *edge[s]) for s in have], "source string, edge int, budget double"))  # one row a source
+    at_bin = ranked.join(edges.drop("budget"), "source").filter("bin = edge")
+    inner = reached(at_bin, "inner", {s: left for s, (_, left) in edge.items()})
+    edges = F.broadcast(spark.createDataFrame([(s, edge[s][0], *inner[s]) for s in have], "source string, edge int, inner_edge int, budget double"))
+    placed = ranked.join(edges, "source").withColumn("at_edge", F.coalesce((F.col("bin") == F.col("edge")) & (F.col("inner") == F.col("inner_edge")), F.lit(False)))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("order", "doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the document that crosses the target is taken if that brings the source nearer to it
-    at_edge = placed.filter("bin = edge").withColumn("extra", (before + F.col("tokens") / 2 <= F.col("budget")).cast("int"))
-    others_ = placed.filter("bin is null or bin <> edge").withColumn("extra", F.when(F.col("bin") < F.col("edge"), 1).otherwise(0))
+    at_edge = placed.filter("at_edge").withColumn("extra", (before + F.col("tokens") / 2 <= F.col("budget")).cast("int"))
+    taken = (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.col("inner") < F.col("inner_edge")))
+    others_ = placed.filter("not at_edge").withColumn("extra", F.when(taken, 1).otherwise(0))
     mix = others_.unionByName(at_edge).select("doc", "source", "tokens", (F.col("base") + F.col("extra")).alias("copies")).filter("copies > 0")
     sums = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("max_copies"))
     available = usable.groupBy("source").agg(F.sum("tokens").alias("available"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,8 @@ class Vocabulary:
     name: str
     tokens: list[bytes]
     merges: list[tuple[int, int, int]]
+    #: Checksum of its file, so that files of one name in two folders aren't taken for each other.
+    stamp: int = 0
 
 
 def _byte_letters() -> dict[str, int]:
@@ -70,7 +73,8 @@ def load_vocabulary(path: str) -> Vocabulary:
     tokens = [b""] * (max(ids.values()) + 1)
     for t, i in ids.items():
         tokens[i] = t
-    return Vocabulary(os.path.basename(path), tokens, merges)
+    with open(path, "rb") as f:
+        return Vocabulary(os.path.basename(path), tokens, merges, zlib.crc32(f.read()))
 
 
 def _merges_of_ranks(ids: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
@@ -240,14 +244,15 @@ class Automaton:
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
 
 
-_compiled: dict[str, Automaton] = {}
+_compiled: dict[tuple[str, int], Automaton] = {}
 
 
 def automaton_of(vocabulary: Vocabulary) -> Automaton:
     """One compiled automaton a process and vocabulary."""
-    if vocabulary.name not in _compiled:
-        _compiled[vocabulary.name] = Automaton(vocabulary)
-    return _compiled[vocabulary.name]
+    key = vocabulary.name, vocabulary.stamp
+    if key not in _compiled:
+        _compiled[key] = Automaton(vocabulary)
+    return _compiled[key]
 
 
 def shared_vocabulary(spark: SparkSession, name: str = "byte_bpe_50k.json", folder: str | None = None):
