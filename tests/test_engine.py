@@ -1,5 +1,6 @@
 """The versioned store, key-value stores, series, search, similarity and functions."""
 
+import random
 import sqlite3
 
 import numpy as np
@@ -165,14 +166,58 @@ def test_series(spark, tmp_path):
         s.append(spark.createDataFrame([(None, "h", 1.0)], "ts bigint, host string, v double"))
 
 
-def test_fts(spark):
-    df = spark.createDataFrame([(1, "The quick brown fox"), (2, "quick QUICK foxes"), (3, None), (4, "Ä brown-fox straße"), (5, "")], "id int, t string")
+WORDS = "hello world the first note news again there Olá mundo ação rápida straße größe münchen quick brown fox łódź și τάξη ế worldwide wording".split()
+
+
+def fts_docs(n=60):
+    rnd = random.Random(11)
+    return [(i, " ".join(rnd.choices(WORDS, k=rnd.randint(0, 14))) or None, ", ".join(rnd.choices(WORDS[:9], k=rnd.randint(0, 3)))) for i in range(n)]
+
+
+QUERIES = [
+    "hello", "HELLO world", '"hello" "wor"*', "hello OR world", "hello NOT world", "content:hello", "meta:hello", "^hello", '"the first"', "the + first", '"brown quick"', "acao", "Ação OR OLÁ", "munchen", "munchen*", "news NOT hello world",
+    "(hello OR news) AND NOT_IN OR quick", "{content meta}: hello", "-meta: world", "content: (hello OR note) AND fox", '"quick brown" OR "first note"', "hello AND (world OR news NOT the)", '"hello hello"', 'wor* NOT "world"', "content: ^ the",
+]
+
+
+def test_fts_against_fts5(spark, tmp_path):
+    docs = fts_docs()
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(content, meta, tokenize = 'unicode61')")
+    con.executemany("insert into t(rowid, content, meta) values(?,?,?)", docs)
+    df = spark.createDataFrame(docs, "id bigint, content string, meta string").repartition(3)
+    lake = Lake(spark, f"{tmp_path}/lake")
+    index = fts.TextIndex(lake, "docs", "id", ["content", "meta"], buckets=4)
+    index.add(df.filter("id < 25"))
+    index.add(df.filter("id >= 25"))
+    for q in QUERIES:
+        want = sorted((i, round(s, 9)) for i, s in con.execute("select rowid, bm25(t) from t where t match ?", (q,)))
+        for out in (fts.search(df, "id", ["content", "meta"], q), index.search(q)) if QUERIES.index(q) % 4 == 0 else (index.search(q),):
+            got = sorted((r.id, round(r.score, 9)) for r in out.collect())
+            # below NOT, phrases that don't decide count as everywhere else
+            assert (got == want) if "NOT" not in q else [i for i, _ in got] == [i for i, _ in want], q
+    plan = index.search("hello")._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan  # no text is tokenized again
+
+
+def test_fts_words_and_errors(spark):
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(["Łódź jest", "și aici", "ǎ b", "xế y", "τάξη", None, "", "x y z " * 100_000])], "id bigint, t string")
     ids = lambda q: sorted(r.id for r in fts.search(df, "id", ["t"], q).collect())
-    assert ids("quick") == [1, 2] and ids('"brown fox"') == [1, 4] and ids("fox*") == [1, 2, 4] and ids("quick NOT brown") == [2] and ids("strasse OR foxes") == [2, 4] and ids("^the") == [1]
-    best = fts.search(df, "id", ["t"], "quick").orderBy("score").first()
-    assert best.id == 2
+    assert [ids(q) for q in ("łódź", "lodz", "SI", "ǎ", "xế", "ταξη", '"z x y z x"', '""', "", '"" lodz')] == [[0], [0], [1], [2], [3], [4], [7], [], [], [0]]
+    for q, error in (("a NEAR(b c)", UnsupportedError), ("NEAR(b c)", UnsupportedError), ("nope: a", ValueError), ("(a", ValueError), ("a AND", ValueError), ("a)", ValueError), ("OR a", ValueError), ("a ; b", ValueError)):
+        with pytest.raises(error):
+            fts.search(df, "id", ["t"], q)
+    assert fts.search(df.filter("false"), "id", ["t"], "a").count() == 0
+    stems = spark.createDataFrame([(w,) for w in ("berries", "ties", "glasses", "gas", "cats", "bus", "iris", "glass", "is")], "w string")
+    assert [r[0] for r in stems.select(fts.plural_stem(F.col("w"))).collect()] == ["berry", "tie", "glass", "gas", "cat", "bus", "iris", "glass", "is"]
+
+
+def test_fts_kept_columns(spark, tmp_path):
+    index = fts.TextIndex(Lake(spark, f"{tmp_path}/lake"), "docs", "id", ["t"], unindexed=("sha",), buckets=2)
+    index.add(spark.createDataFrame([(1, "a b", "x"), (2, "a", "y"), (3, None, "x")], "id bigint, t string, sha string"))
+    assert [r.id for r in index.search("a", equal={"sha": "x"}).collect()] == [1] and [r.id for r in index.search("a", n=1).collect()] == [2]
     with pytest.raises(ValueError):
-        fts.search(df, "id", ["t"], "(quick")
+        index.search("a", equal={"t": "a"})
 
 
 def test_tlsh(spark):
