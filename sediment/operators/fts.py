@@ -295,15 +295,11 @@ class TextIndex:
     def __init__(self, lake: Lake, name: str, key: str = "", columns: list[str] | None = None, unindexed: tuple[str, ...] = (), key_type: str = "bigint", buckets: int = BUCKETS):
         self.lake, self.name = lake, name
         if f"{name}.documents" not in lake.tables():
-            own = lake._staged is None
-            if own:
-                lake.begin()
             plain = "".join(f", `{c}` string" for c in unindexed)
             options = {"key": key, "columns": columns, "unindexed": list(unindexed), "buckets": buckets}
-            lake.create(f"{name}.documents", Table(f"key {key_type}, length bigint{plain}", kind="fts", options=options))
-            lake.create(f"{name}.postings", Table(f"key {key_type}, token string, column int, position int, bucket int", kind="fts", options={"partition": "bucket"}))
-            if own:
-                lake.commit(f"create index {name}")
+            with lake._transaction(f"create index {name}"):
+                lake.create(f"{name}.documents", Table(f"key {key_type}, length bigint{plain}", kind="fts", options=options))
+                lake.create(f"{name}.postings", Table(f"key {key_type}, token string, column int, position int, bucket int", kind="fts", options={"partition": "bucket"}))
         o = lake._entry(f"{name}.documents")["options"]
         self.key, self.columns, self.unindexed, self.buckets = o["key"], o["columns"], o["unindexed"], o["buckets"]
 
@@ -316,19 +312,10 @@ class TextIndex:
         placed = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "token", "key")
         documents = split.select("key", sum((F.size(f"t{i}") for i in range(len(self.columns))), F.lit(0)).cast("bigint").alias("length"), *self.unindexed)
         lake = self.lake
-        own = lake._staged is None
-        if own:
-            lake.begin()
-        try:
+        with lake._transaction(f"add to {self.name}") as staged:
             for table, df, parts in ((f"{self.name}.documents", documents, None), (f"{self.name}.postings", placed, ["bucket"])):
                 e = lake._entry(table)
-                lake._staged[table] = e | {"paths": [*e["paths"], lake._write(df, parts)]}
-            if own:
-                lake.commit(f"add to {self.name}")
-        except BaseException:
-            if own:
-                lake.rollback()
-            raise
+                staged[table] = e | {"paths": [*e["paths"], lake._write(df, parts)]}
 
     def search(self, query: str, equal: dict[str, str] | None = None, n: int | None = None) -> DataFrame:
         """(key, score), best lowest: only buckets and files of the query's words are read. n keeps the best n, ties by key."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,21 +10,35 @@ from sediment.operators.snapshot_diff import consecutive
 from sediment.runtime import small_or_not
 
 
-def row_history(versions: DataFrame, key: list[str], generation: str = "generation") -> DataFrame:
+def changed_rows(events: DataFrame, key: list[str], columns: list[str], generation: Column, late: Column) -> DataFrame:
+    """(generation, op, *columns) from rows that left (late false) or arrived (late true) in a generation; rows that did both alike are none.
+
+    One shuffle on (generation, key), pre-aggregated. Values are compared with NULLs as values.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    sides = events.groupBy(generation.alias("generation"), *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(key)]).agg(
+        F.first(F.when(~late, row), ignorenulls=True).alias("old"), F.first(F.when(late, row), ignorenulls=True).alias("new")
+    )
+    op = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(~F.col("old").eqNullSafe(F.col("new")), "update")
+    return sides.select("generation", op.alias("op"), F.coalesce("new", "old").alias("r")).filter("op is not null").select("generation", "op", "r.*")
+
+
+def row_history(versions: DataFrame, key: list[str], generation: str = "generation", known: list[int] | None = None) -> DataFrame:
     """insert, update and delete events of each key from full snapshots in one frame: (generation, op, *columns).
 
-    One shuffle on the key: lag and lead over a key's own versions, absences found against the neighbouring generation.
+    known: all generation numbers, so that one in which the table holds no rows is seen too; by default those in the frame. Each row
+    arrives in its own generation and leaves in the next one, so one shuffle brings the two sides of every change together.
     """
-    values = [c for c in versions.columns if c not in (*key, generation)]
-    all_of = versions.select(F.lit(1).alias("g"), generation)
-    around = small_or_not(consecutive(all_of, "g", generation).drop("g"))
-    w = Window.partitionBy(*key).orderBy(generation)
-    body = F.xxhash64(*values) if values else F.lit(0)
-    marked = versions.join(around, generation).withColumns({"__h": body, "__hb": F.lag(body).over(w), "__gb": F.lag(generation).over(w), "__ga": F.lead(generation).over(w)})
-    born = marked.filter(F.col("__gb").isNull() | (F.col("__gb") != F.coalesce(F.col("before"), F.lit(-1)))).select(generation, F.lit("insert").alias("op"), *key, *values)
-    new = marked.filter((F.col("__gb") == F.col("before")) & (F.col("__h") != F.col("__hb"))).select(generation, F.lit("update").alias("op"), *key, *values)
-    gone = marked.filter(F.col("after").isNotNull() & (F.col("__ga").isNull() | (F.col("__ga") != F.col("after")))).select(F.col("after").alias(generation), F.lit("delete").alias("op"), *key, *values)
-    return born.unionByName(new).unionByName(gone)
+    columns = [c for c in versions.columns if c != generation]
+    spark = versions.sparkSession
+    if known is None:
+        around = small_or_not(consecutive(versions.select(F.lit(1).alias("g"), generation), "g", generation).select(generation, "after"))
+    else:
+        numbers = sorted(known)
+        around = small_or_not(spark.createDataFrame(list(zip(numbers, [*numbers[1:], None], strict=True)), f"`{generation}` int, after int"))
+    marked = versions.join(around, generation).withColumn("__e", F.explode(F.array(F.struct(F.col(generation).alias("g"), F.lit(True).alias("late")), F.struct(F.col("after").alias("g"), F.lit(False).alias("late")))))
+    found = changed_rows(marked.filter("__e.g is not null"), key, columns, F.col("__e.g"), F.col("__e.late"))
+    return found.withColumnRenamed("generation", generation)
 
 
 def file_timeline(files: DataFrame, path: str) -> DataFrame:

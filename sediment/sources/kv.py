@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.functions.dates import duration_ns
+from sediment.runtime import small_or_not
 from sediment.sources.lake import Lake, Table
 
 
@@ -30,11 +31,17 @@ class KeyValue:
         return self.lake.insert(self.name, rows.withColumn("expires", expires.cast("bigint")), conflict="replace")
 
     def delete(self, keys: DataFrame) -> int:
-        old = self.lake.read(self.name)
-        gone = old.join(keys.select("key").distinct(), "key", "left_semi").count()
-        if gone:
-            self.lake._replace(self.name, self.lake._entry(self.name), old.join(keys.select("key").distinct(), "key", "left_anti"), f"delete from {self.name}", None)
-        return gone
+        with self.lake._transaction(f"delete from {self.name}"):
+            old = self.lake.read(self.name)
+            gone = small_or_not(keys.select("key").distinct())
+            n = old.join(gone, "key", "left_semi").count()
+            if n:
+                self.lake._replace(self.name, self.lake._entry(self.name), old.join(gone, "key", "left_anti"), "", None)
+        return n
+
+    def drop(self) -> None:
+        """DROP KV STORE."""
+        self.lake.drop(self.name)
 
     def get(self, key: bytes, now_ms: int | None = None) -> bytes | None:
         row = self._live(now_ms).filter(F.col("key") == F.lit(key)).select("value").first()

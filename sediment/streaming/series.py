@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from sediment.sources.lake import ConstraintError, Lake, Table, UnsupportedError
 
 DAY = 86_400 * 10**9
 _SIZES = {"hour": 3600 * 10**9, "day": DAY}
+#: Buffered rows at which an append seals (a fixed value), and files of a rollup's states at which a seal merges them.
+SEAL_ROWS, ROLLUP_FILES = 1_048_576, 16
 
 
 def partition_start(ns: Column, unit: str) -> Column:
@@ -38,6 +41,17 @@ def partition_end(start: Column, unit: str) -> Column:
     return F.unix_date(F.add_months(day, 1)).cast("bigint") * DAY
 
 
+def start_of(ns: int, unit: str) -> int:
+    """partition_start of one time, on the driver."""
+    if unit in _SIZES:
+        return ns - ns % _SIZES[unit]
+    day = ns // DAY
+    if unit == "week":
+        return (day - (day + 3) % 7) * DAY
+    epoch = datetime(1970, 1, 1)
+    return ((epoch + timedelta(days=day)).replace(day=1) - epoch).days * DAY
+
+
 @dataclass(frozen=True)
 class Rollup:
     """Aggregates per bucket of `every` and group: name -> (function, column); count sum total avg min max first last."""
@@ -97,22 +111,22 @@ class Rollup:
         return self.final(self.states(rows, ts, seq))
 
 
+def _test(word: str, start: bool):
+    return lambda t: t.startswith(word) if start else t == word
+
+
 class Series:
     """A time series `name` on a lake: sealed rows, a buffer and its rollups are tables of the lake."""
 
-    def __init__(self, lake: Lake, name: str, schema: str = "", unit: str = "day", retention: str | None = None, tags: tuple[str, ...] = ()):
+    def __init__(self, lake: Lake, name: str, schema: str = "", unit: str = "day", retention: str | None = None, tags: tuple[str, ...] = (), seal_rows: int = SEAL_ROWS):
         self.lake, self.name = lake, name
         if f"{name}.sealed" not in lake.tables():
-            options = {"unit": unit, "retention": retention, "tags": list(tags), "partition": "part", "seq": 0}
-            own = lake._staged is None
-            if own:
-                lake.begin()
-            lake.create(f"{name}.buffer", Table(f"{schema}, seq bigint", not_null=("ts",), kind="series"))
-            lake.create(f"{name}.sealed", Table(f"{schema}, seq bigint, part bigint", kind="series", options=options))
-            if own:
-                lake.commit(f"create series {name}")
+            options = {"unit": unit, "retention": retention, "tags": list(tags), "partition": "part", "seq": 0, "seal_rows": seal_rows}
+            with lake._transaction(f"create series {name}"):
+                lake.create(f"{name}.buffer", Table(f"{schema}, seq bigint", not_null=("ts",), kind="series"))
+                lake.create(f"{name}.sealed", Table(f"{schema}, seq bigint, part bigint", kind="series", options=options))
         o = lake._entry(f"{name}.sealed")["options"]
-        self.unit, self.retention, self.tags = o["unit"], o["retention"], o["tags"]
+        self.unit, self.retention, self.tags, self.seal_rows = o["unit"], o["retention"], o["tags"], o.get("seal_rows", SEAL_ROWS)
 
     def append(self, rows: DataFrame, order: list[str] | None = None) -> int:
         """Rows get their sequence numbers in `order`, by default that of time; a NULL time is a constraint error."""
@@ -121,21 +135,65 @@ class Series:
         numbered = number_rows(rows, order or ["ts"], "seq")
         e = self.lake._entry(f"{self.name}.sealed")
         base = self.lake.read(f"{self.name}.buffer").agg(F.max("seq")).first()[0] or e["options"]["seq"]
-        return self.lake.insert(f"{self.name}.buffer", numbered.withColumn("seq", F.col("seq") + base))
+        added = self.lake.insert(f"{self.name}.buffer", numbered.withColumn("seq", F.col("seq") + base))
+        if self.lake._staged is None and self.lake.read(f"{self.name}.buffer").count() >= self.seal_rows:
+            self.seal()
+        return added
 
     def update(self, *_: object) -> None:
         raise UnsupportedError("a series is append-only")
 
     delete = update
 
+    def _sealed(self, generation: int | None = None) -> DataFrame:
+        """Sealed rows of the partitions that retention has left; dropped ones aren't read."""
+        name = f"{self.name}.sealed"
+        floor = self.lake._entry(name, generation)["options"].get("floor")
+        rows = self.lake.read(name, generation)
+        return rows if floor is None else rows.filter(F.col("part") >= floor)
+
+    def search(self, column: str, words: str, **bounds) -> DataFrame:
+        """Rows within bounds (see rows) whose column holds all of the words; one that ends in * matches by its start."""
+        from sediment.operators import fts
+
+        out = self.rows(**bounds)
+        found = fts.tokens(F.coalesce(F.col(column), F.lit("")))
+        for w in words.split():
+            start = w.endswith("*")
+            for x in fts.words_of(w):
+                out = out.filter(F.exists(found, _test(x, start)))
+        return out
+
+    def history(self) -> DataFrame:
+        """HISTORY OF a series: every row with the generation that appended it; a series has inserts only."""
+        first = {}
+        for g in self.lake.generations():
+            for p in self.lake.manifest(g)["tables"].get(f"{self.name}.buffer", {"paths": []})["paths"]:
+                first.setdefault(p, g)
+        entry = self.lake._entry(f"{self.name}.buffer")
+        out = None
+        for g in sorted(set(first.values())):
+            one = self.lake._load(entry | {"paths": [p for p, at in first.items() if at == g]}).select(F.lit(g).alias("generation"), F.lit("insert").alias("op"), "*")
+            out = one if out is None else out.unionByName(one)
+        return out if out is not None else self.lake._load(entry | {"paths": []}).select(F.lit(0).alias("generation"), F.lit("insert").alias("op"), "*")
+
+    def drop(self) -> None:
+        """DROP TIMESERIES: its rows and rollups."""
+        with self.lake._transaction(f"drop series {self.name}"):
+            for n in self.lake.tables():
+                if n.startswith(f"{self.name}."):
+                    self.lake.drop(n)
+
+    def drop_rollup(self, name: str) -> None:
+        self.lake.drop(f"{self.name}.{name}")
+
     def rows(self, start: int | None = None, end: int | None = None, buffer: bool = True, where: str | None = None, descending: bool | None = None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Rows with start <= ts < end; the bounds also prune partitions. descending None leaves the order open."""
-        sealed = self.lake.read(f"{self.name}.sealed")
-        fold = lambda v: sealed.sparkSession.range(1).select(partition_start(F.lit(v), self.unit)).first()[0]
+        sealed = self._sealed()
         if start is not None:
-            sealed = sealed.filter((F.col("part") >= fold(start)) & (F.col("ts") >= start))
+            sealed = sealed.filter((F.col("part") >= start_of(start, self.unit)) & (F.col("ts") >= start))
         if end is not None:
-            sealed = sealed.filter((F.col("part") <= fold(end)) & (F.col("ts") < end))
+            sealed = sealed.filter((F.col("part") <= start_of(end, self.unit)) & (F.col("ts") < end))
         out = sealed.drop("part")
         if buffer:
             held = self.lake.read(f"{self.name}.buffer")
@@ -151,7 +209,7 @@ class Series:
 
     def rollups(self) -> list[Rollup]:
         found = []
-        for n, e in self.lake.manifest()["tables"].items():
+        for n, e in (self.lake._base or self.lake.manifest())["tables"].items():
             if e["kind"] == "rollup" and e["options"]["series"] == self.name:
                 o = e["options"]
                 found.append(Rollup(n.split(".")[-1], o["every"], tuple(o["groups"]), {k: tuple(v) for k, v in o["aggregates"].items()}, o["where"], o["retention"]))
@@ -176,37 +234,34 @@ class Series:
         return r.final(merged)
 
     def seal(self, now_ns: int | None = None) -> None:
-        """Buffer into partitioned files, states into the rollups, old partitions dropped: one generation."""
+        """Buffer into partitioned files, states into the rollups, old partitions dropped: one generation.
+
+        Only the buffer is read: its states are appended to a rollup's files, which are merged when read and now and then. A partition whose
+        end is at or before now less retention is dropped by a floor in the definition; its files go with the next vacuum.
+        """
         lake, now = self.lake, now_ns or time.time_ns()
-        sealed, buffer = lake._entry(f"{self.name}.sealed"), lake._entry(f"{self.name}.buffer")
-        held = lake.read(f"{self.name}.buffer").withColumn("part", partition_start(F.col("ts"), self.unit))
-        stored = lake.read(f"{self.name}.sealed")
-        if self.retention:
-            cutoff = now - duration_ns(self.retention)
-            alive = partition_end(F.col("part"), self.unit) > cutoff
-            held, kept = held.filter(alive), stored.filter(alive)
-            dropped = not stored.filter(~alive).isEmpty()
-        else:
-            kept, dropped = stored, False
-        lake.begin()
-        try:
+        with lake._transaction(f"seal {self.name}") as staged:
+            sealed, buffer = lake._entry(f"{self.name}.sealed"), lake._entry(f"{self.name}.buffer")
+            held = lake.read(f"{self.name}.buffer")
+            options = dict(sealed["options"])
             for r in self.rollups():
                 e = lake._entry(f"{self.name}.{r.name}")
-                merged = r.merged(lake.read(f"{self.name}.{r.name}").unionByName(r.states(lake.read(f"{self.name}.buffer"))))
-                if r.retention:
-                    merged = merged.filter(F.col("bucket") >= now - duration_ns(r.retention))
-                lake._staged[f"{self.name}.{r.name}"] = e | {"paths": [lake._write(merged)]}
-            top = held.agg(F.max("seq")).first()[0]
-            path = lake._write(held.repartition("part").sortWithinPartitions("part", "ts", "seq"), ["part"])
-            paths = [*sealed["paths"], path]
-            if dropped:
-                paths = [lake._write(kept.unionByName(held).repartition("part").sortWithinPartitions("part", "ts", "seq"), ["part"])]
-            lake._staged[f"{self.name}.sealed"] = sealed | {"paths": paths, "options": sealed["options"] | {"seq": max(top or 0, sealed["options"]["seq"])}}
-            lake._staged[f"{self.name}.buffer"] = buffer | {"paths": []}
-            lake.commit(f"seal {self.name}")
-        except BaseException:
-            lake.rollback()
-            raise
+                new = [lake._write(r.states(held))]
+                if len(e["paths"]) >= ROLLUP_FILES:
+                    merged = r.merged(lake._load(e | {"paths": [*e["paths"], *new]}))
+                    if r.retention:
+                        merged = merged.filter(F.col("bucket") >= now - duration_ns(r.retention))
+                    staged[f"{self.name}.{r.name}"] = e | {"paths": [lake._write(merged)]}
+                else:
+                    staged[f"{self.name}.{r.name}"] = e | {"paths": [*e["paths"], *new]}
+            placed = held.withColumn("part", partition_start(F.col("ts"), self.unit))
+            if self.retention:
+                options["floor"] = max(options.get("floor") or start_of(now - duration_ns(self.retention), self.unit), start_of(now - duration_ns(self.retention), self.unit))
+                placed = placed.filter(F.col("part") >= options["floor"])
+            options["seq"] = max(held.agg(F.max("seq")).first()[0] or 0, options["seq"])
+            path = lake._write(placed.repartition("part").sortWithinPartitions("part", "ts", "seq"), ["part"])
+            staged[f"{self.name}.sealed"] = sealed | {"paths": [*sealed["paths"], path], "options": options}
+            staged[f"{self.name}.buffer"] = buffer | {"paths": []}
 
     def stats(self) -> DataFrame:
         return self.rows(buffer=False).agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).withColumn("buffered", F.lit(self.lake.read(f"{self.name}.buffer").count()))
@@ -223,15 +278,10 @@ def append_stream(stream: DataFrame, series: Series, checkpoint: str):
         entry = series.lake._entry(name)
         if entry["options"].get("batch", -1) >= number:
             return
-        series.lake.begin()
-        try:
+        with series.lake._transaction(f"append batch {number} to {series.name}") as staged:
             if not df.isEmpty():
                 series.append(df)
-            series.lake._staged[name] = entry | {"options": entry["options"] | {"batch": number}}
-            series.lake.commit(f"append batch {number} to {series.name}")
-        except BaseException:
-            series.lake.rollback()
-            raise
+            staged[name] = entry | {"options": entry["options"] | {"batch": number}}
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 

@@ -12,10 +12,11 @@ from sediment.functions import dates as D
 from sediment.functions import json_fns as J
 from sediment.functions import scalar as S
 from sediment.operators import fts, relational, tlsh
+from sediment.operators.history import row_history
 from sediment.sources import export, ingest
 from sediment.sources.kv import KeyValue
-from sediment.sources.lake import ConstraintError, Lake, NotFoundError, Table, UnsupportedError
-from sediment.streaming.series import Rollup, Series
+from sediment.sources.lake import BusyError, ConstraintError, Lake, NotFoundError, Table, UnsupportedError
+from sediment.streaming.series import Rollup, Series, partition_start, start_of
 
 DAY = 86_400 * 10**9
 
@@ -129,6 +130,71 @@ def test_lake(spark, tmp_path):
     assert lake.read("t").count() == 3
 
 
+def test_lake_two_writers(spark, tmp_path):
+    a, b = Lake(spark, str(tmp_path / "lake")), Lake(spark, str(tmp_path / "lake"))
+    rows = lambda *x: spark.createDataFrame(list(x), "id bigint, v string")
+    a.create("t", Table("id bigint, v string", key=("id",)))
+    a.create("u", Table("id bigint, v string"))
+    a.begin()
+    a.insert("t", rows((1, "a")))
+    b.insert("t", rows((2, "b")))
+    assert [r.id for r in a.read("t").collect()] == [1]  # what it began with, and its own
+    with pytest.raises(BusyError):
+        a.commit()
+    assert [r.id for r in a.read("t").collect()] == [2] and not [x for x in (tmp_path / "lake/_manifest").iterdir() if x.name.startswith("_")]
+    a.begin()
+    a.insert("t", rows((3, "c")))
+    b.insert("u", rows((9, "z")))  # another table is no conflict
+    a.commit()
+    assert sorted(r.id for r in b.read("t").collect()) == [2, 3] and b.read("u").count() == 1
+    a.begin()
+    a.drop("u")
+    b.insert("u", rows((8, "y")))
+    with pytest.raises(BusyError):
+        a.commit()
+
+
+def test_lake_history(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    lake.create("t", Table("id bigint, a int, b int", key=("id",)))
+    rows = lambda *x: spark.createDataFrame(list(x), "id bigint, a int, b int")
+    lake.insert("t", rows((1, 1, None), (2, 5, 5)))  # generation 2
+    lake.update("t", {"a": "b", "b": "a"}, "id = 1")  # 3
+    lake.insert("t", rows((3, None, None)))  # 4
+    lake.delete("t")  # 5
+    lake.insert("t", rows((1, 7, 7)))  # 6
+    lake.drop("t")  # 7
+    lake.create("t", Table("id bigint, a int, b int", key=("id",)))  # 8
+    want = {(2, "insert", 1, 1, None), (2, "insert", 2, 5, 5), (3, "update", 1, None, 1), (4, "insert", 3, None, None), (5, "delete", 1, None, 1), (5, "delete", 2, 5, 5), (5, "delete", 3, None, None), (6, "insert", 1, 7, 7), (7, "delete", 1, 7, 7)}
+    assert {(r.generation, r.op, r.id, r.a, r.b) for r in lake.history("t").collect()} == want
+    frame = spark.createDataFrame([(1, 1, None, 1), (1, None, 1, 2), (2, 0, 0, 4)], "id int, a int, b int, generation int")
+    got = {(r.generation, r.op, r.id) for r in row_history(frame, ["id"], known=[1, 2, 3, 4]).collect()}
+    assert got == {(1, "insert", 1), (2, "update", 1), (3, "delete", 1), (4, "insert", 2)}
+
+
+def test_lake_statements(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    lake.create("t", Table("id bigint, v string, n int", key=("id",), unique=(("v",),), defaults={"n": "40 + 2"}))
+    two = lambda *x: spark.createDataFrame(list(x), "id bigint, v string")
+    lake.insert("t", two((1, "a"), (2, None), (3, None)))
+    assert {r.n for r in lake.returned.collect()} == {42} and lake.changes == 3
+    with pytest.raises(ConstraintError):
+        lake.insert("t", two((4, "a")))
+    assert lake.upsert("t", two((1, "x"), (5, "e")), None) == 1
+    assert lake.upsert("t", two((1, "x"), (5, "y")), {"v": "excluded.v"}, "t.id = 1") == 1
+    source = spark.createDataFrame([(1, 7), (1, 6), (5, 8)], "k bigint, m int")
+    assert {(r.id, r.n) for r in lake.update("t", {"n": "s.m"}, "t.id = s.k", source=source, alias="s").collect()} == {(1, 6), (5, 8)}
+    for bad in (lambda: lake.alter("t", drop="v"), lambda: lake.alter("t", drop="id"), lambda: lake.alter("t", drop="nope")):
+        with pytest.raises((ConstraintError, NotFoundError)):
+            bad()
+    lake.begin()
+    lake.insert("t", two((10, "j")))
+    with pytest.raises(ConstraintError):
+        lake.insert("t", two((10, "k")))
+    lake.commit()  # the statement that failed is undone, not the transaction
+    assert {r.id for r in lake.read("t").collect()} == {1, 2, 3, 5, 10}
+
+
 def test_kv(spark, tmp_path):
     kv = KeyValue(Lake(spark, str(tmp_path / "kv")), "s", ttl="1s")
     rows = lambda *x: spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in x], "key binary, value binary")
@@ -160,6 +226,18 @@ def test_series(spark, tmp_path):
     s.seal(now_ns=12 * DAY)  # the first two days end at or before the cutoff
     assert s.rows(end=2 * DAY).count() == 0 and s.rows().count() < n + 10
     assert s.rollup("hr").agg(F.min("bucket")).first()[0] < 2 * DAY
+    small = Series(lake, "k", "ts bigint, msg string", "month", None, (), seal_rows=3)
+    small.append(spark.createDataFrame([(1, "the Größe"), (2, None)], "ts bigint, msg string"))
+    assert lake.read("k.sealed").count() == 0
+    small.append(spark.createDataFrame([(40 * DAY, "grosses")], "ts bigint, msg string"))
+    assert lake.read("k.sealed").count() == 3 and lake.read("k.buffer").count() == 0
+    assert [r.ts for r in small.search("msg", "gross*", start=0, end=2 * DAY).collect()] == [1] and small.search("msg", "THE gros*").count() == 1
+    assert {(r.op, r.ts) for r in small.history().collect()} == {("insert", 1), ("insert", 2), ("insert", 40 * DAY)}
+    for unit in ("hour", "day", "week", "month"):
+        for t in (0, -1, DAY * 45 + 7, -DAY * 400, 1_700_000_000 * 10**9):
+            assert start_of(t, unit) == one(spark, partition_start(F.lit(t), unit))[0]
+    small.drop()
+    assert not [n for n in lake.tables() if n.startswith("k.")]
     with pytest.raises(UnsupportedError):
         s.update()
     with pytest.raises(ConstraintError):
