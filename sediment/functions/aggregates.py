@@ -13,7 +13,7 @@ def total(x: Column) -> Column:
     return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
 
 
-def group_concat(x: Column, sep: str = ",", order: Column | None = None, distinct: bool = False) -> Column:
+def group_concat(x: Column, sep: str = ",", order: Column | None = None, distinct: bool = False, descending: bool = False) -> Column:
     """The non-null values joined, in the given order or else by value; NULL over none."""
     if distinct:
         joined = F.array_join(F.array_sort(F.collect_set(x.cast("string"))), sep)
@@ -21,6 +21,7 @@ def group_concat(x: Column, sep: str = ",", order: Column | None = None, distinc
     if order is None:
         return F.when(F.count(x) > 0, F.array_join(F.array_sort(F.collect_list(x.cast("string"))), sep))
     pairs = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(order.alias("o"), x.cast("string").alias("v")))))
+    pairs = F.reverse(pairs) if descending else pairs
     return F.when(F.count(x) > 0, F.array_join(F.transform(pairs, lambda p: p["v"]), sep))
 
 

@@ -14,22 +14,44 @@ EPOCH_JULIAN = 2440587.5
 
 
 def micros_of(x: Column) -> Column:
-    """Microseconds of a timestamp column of either kind."""
-    return F.unix_micros(x.cast("timestamp"))
+    """Microseconds of a timestamp column's clock time, whatever the session's time zone."""
+    span = x.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return (span.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
 
 def micros_of_text(x: Column) -> Column:
-    """Microseconds of YYYY-MM-DD[ T]HH:MM[:SS[.f]][Z|+-HH:MM], HH:MM[:SS] (on 2000-01-01) or a Julian number; NULL for other texts."""
-    iso = x.rlike(r"^\s*\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:\d{2})?)?\s*$")
+    """Microseconds of YYYY-MM-DD[ T]HH:MM[:SS[.f]][Z|+-HH:MM], HH:MM[:SS] (on 2000-01-01) or a Julian number; NULL for other texts.
+    A time without a zone is UTC."""
+    t = F.trim(x)
+    day = t.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    iso = t.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:\d{2})?$")
     clock = x.rlike(r"^\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?$")
     julian = x.rlike(r"^\d+(?:\.\d+)?$")
+    zoned = F.when(t.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), F.regexp_replace(t, r"\s+(?=Z|[+-]\d{2}:\d{2}$)", "")).otherwise(F.concat(t, F.lit("Z")))
     return (
-        F.when(iso, F.unix_micros(F.trim(x).try_cast("timestamp")))
-        .when(clock, F.unix_micros(F.concat(F.lit("2000-01-01 "), x).try_cast("timestamp")))
-        .when(julian, F.round((x.try_cast("double") - EPOCH_JULIAN) * 86_400_000).cast("bigint") * 1000)
+        F.when(day, F.unix_micros(F.concat(t, F.lit(" 00:00:00Z")).try_cast("timestamp")))
+        .when(iso, F.unix_micros(zoned.try_cast("timestamp")))
+        .when(clock, F.unix_micros(F.concat(F.lit("2000-01-01 "), x, F.lit("Z")).try_cast("timestamp")))
+        .when(julian, _julian_micros(x.try_cast("double")))
     )
 
 
+def _julian_micros(x: Column) -> Column:
+    return F.round((x - EPOCH_JULIAN) * 86_400_000).cast("bigint") * 1000
+
+
+def time_value(x: Column, *modifiers: str) -> Column:
+    """Microseconds of a time value, text or number, under modifiers. A first modifier unixepoch, julianday or auto says what a number
+    is; without one it is a Julian day. auto: below 5373484.5 a Julian day, else seconds since 1970."""
+    first = modifiers[0].strip().lower() if modifiers else ""
+    if first in ("unixepoch", "julianday", "auto"):
+        n = x.try_cast("double")
+        seconds = F.round(n * 1_000_000).cast("bigint")
+        us = {"unixepoch": seconds, "julianday": _julian_micros(n)}.get(first, F.when((n >= 0) & (n < 5373484.5), _julian_micros(n)).otherwise(F.coalesce(seconds, micros_of_text(x.cast("string")))))
+        return modified(us, *modifiers[1:])
+    return modified(micros_of_text(x.cast("string")), *modifiers)
+
+
 def _days(us: Column) -> Column:
     return F.call_function("div", us - F.pmod(us, F.lit(DAY)), F.lit(DAY))
 
@@ -51,7 +73,11 @@ def modified(us: Column, *modifiers: str) -> Column:
     for text in modifiers:
         m = text.strip().lower()
         day, rest = _civil(us), F.pmod(us, F.lit(DAY))
-        if m in ("utc", "localtime", "auto", "subsec", "subsecond"):
+        if m in ("subsec", "subsecond"):
+            continue
+        if m in ("localtime", "utc"):
+            shift = F.from_utc_timestamp if m == "localtime" else F.to_utc_timestamp
+            us = F.unix_micros(shift(F.timestamp_micros(us), F.current_timezone()))
             continue
         if m.startswith("start of "):
             what = m[9:]
@@ -86,11 +112,15 @@ def date(us: Column, *modifiers: str) -> Column:
 
 
 def time(us: Column, *modifiers: str) -> Column:
-    return strftime("%T", us, *modifiers)
+    return strftime("%H:%M:%f" if _fine(modifiers) else "%T", us, *modifiers)
+
+
+def _fine(modifiers: tuple[str, ...]) -> bool:
+    return any(m.strip().lower() in ("subsec", "subsecond") for m in modifiers)
 
 
 def datetime(us: Column, *modifiers: str) -> Column:
-    return strftime("%F %T", us, *modifiers)
+    return strftime("%F %H:%M:%f" if _fine(modifiers) else "%F %T", us, *modifiers)
 
 
 def julianday(us: Column, *modifiers: str) -> Column:
@@ -99,6 +129,8 @@ def julianday(us: Column, *modifiers: str) -> Column:
 
 def unixepoch(us: Column, *modifiers: str) -> Column:
     x = modified(us, *modifiers)
+    if _fine(modifiers):
+        return F.call_function("div", x - F.pmod(x, F.lit(1000)), F.lit(1000)).cast("double") / 1000
     return F.call_function("div", x - F.pmod(x, F.lit(1_000_000)), F.lit(1_000_000))
 
 

@@ -59,16 +59,46 @@ def _find(x, path: list):
     return x
 
 
-def extract(doc: Column, path: str) -> Column:
-    """The value at a path as text: scalars bare, true and false as 1 and 0, objects and arrays as JSON; NULL if there is none."""
+def _native(p: list) -> str | None:
+    """The path as the JVM's functions take it; None if it counts from an end."""
+    return "$" + "".join(f"['{s}']" if isinstance(s, str) else f"[{s}]" for s in p) if all(isinstance(s, (str, int)) and "'" not in str(s) for s in p) else None
+
+
+def _kind(doc: Column, path: str) -> Column:
+    """Type of the value at a native path, such as BOOLEAN or ARRAY<...>; NULL if there is none."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
+
+
+def extract(doc: Column, path: str, *more: str) -> Column:
+    """The value at a path as text: scalars bare, true and false as 1 and 0, objects and arrays as JSON; NULL if there is none or it is
+    null. Of several paths the JSON array of their values, null where there is none."""
+    if more:
+        return F.when(valid(doc) == 1, F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(arrow(doc, x), F.lit("null")) for x in (path, *more)]), F.lit("]")))
     p = steps(path)
-    if all(isinstance(s, (str, int)) for s in p):
-        native = "$" + "".join(f"['{s}']" if isinstance(s, str) else f"[{s}]" for s in p)
-        raw = F.get_json_object(doc, native)
-        if not p:
-            return json(doc)
-        return raw
-    return _edit(lambda x: (lambda v: None if v is _NONE or v is None else v if isinstance(v, str) else _dumps(v))(_find(x, p)), doc)
+    native = _native(p)
+    if native is not None:
+        kind = _kind(doc, native)
+        raw = F.get_json_object(doc, native) if p else F.when(kind == "STRING", F.get_json_object(F.concat(F.lit('{"v":'), doc, F.lit("}")), "$.v")).otherwise(json(doc))
+        return F.when(kind == "BOOLEAN", F.when(raw == "true", "1").otherwise("0")).when((kind != "VOID") | (kind.isNull() & F.lit(bool(p))), raw)
+    return _edit(lambda x: (lambda v: None if v is _NONE or v is None else ("1" if v else "0") if isinstance(v, bool) else v if isinstance(v, str) else _dumps(v))(_find(x, p)), doc)
+
+
+def place(key: str | int) -> str:
+    """The path that -> and ->> take: a path, a key, or a position, negative from the end."""
+    if isinstance(key, int):
+        return f"$[{key}]" if key >= 0 else f"$[#{key}]"
+    return key if key.startswith("$") else f'$."{key}"'
+
+
+def arrow(doc: Column, key: str | int) -> Column:
+    """doc -> key: the value there as JSON; NULL if there is none."""
+    p = steps(place(key))
+    return _edit(lambda x: (lambda v: None if v is _NONE else _dumps(v))(_find(x, p)), doc)
+
+
+def arrow_text(doc: Column, key: str | int) -> Column:
+    """doc ->> key: the value there as extract gives it."""
+    return extract(doc, place(key))
 
 
 def valid(doc: Column) -> Column:
@@ -84,6 +114,15 @@ def array_length(doc: Column, path: str = "$") -> Column:
 def type_at(doc: Column, path: str = "$") -> Column:
     """null, true, false, integer, real, text, array or object; NULL if the path leads nowhere."""
     p = steps(path)
+    native = _native(p)
+    if native is not None:
+        kind = _kind(doc, native)
+        truth = F.when(F.try_variant_get(F.try_parse_json(doc), native, "boolean"), "true").otherwise("false")
+        named = {"BIGINT": "integer", "STRING": "text", "VOID": "null"}
+        out = F.when(kind == "BOOLEAN", truth).when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
+        for k, v in named.items():
+            out = out.when(kind == k, v)
+        return out.when(kind.isNotNull(), "real")
 
     def name(x):
         v = _find(x, p)
@@ -211,7 +250,7 @@ def quote(x: Column) -> Column:
 
 
 def each(df: DataFrame, doc: str, path: str = "$") -> DataFrame:
-    """df with key, value, type, atom, fullkey of each member of the object or array at path: one row a member, none for scalars."""
+    """df with key, value, type, atom, fullkey and path of each member of the object or array at path: one row a member, none for scalars."""
     return _walk(df, doc, path, deep=False)
 
 
@@ -220,7 +259,7 @@ def tree(df: DataFrame, doc: str, path: str = "$") -> DataFrame:
     return _walk(df, doc, path, deep=True)
 
 
-_ROW = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("key", T.StringType()), ("value", T.StringType()), ("type", T.StringType()), ("atom", T.StringType()), ("id", T.IntegerType()), ("parent", T.IntegerType()), ("fullkey", T.StringType()))]))
+_ROW = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("key", T.StringType()), ("value", T.StringType()), ("type", T.StringType()), ("atom", T.StringType()), ("id", T.IntegerType()), ("parent", T.IntegerType()), ("fullkey", T.StringType()), ("path", T.StringType()))]))
 
 
 def _walk(df: DataFrame, doc: str, path: str, deep: bool) -> DataFrame:
@@ -233,26 +272,26 @@ def _walk(df: DataFrame, doc: str, path: str, deep: bool) -> DataFrame:
             return []
         out: list = []
 
-        def add(key, v, parent, full):
+        def add(key, v, parent, full, holder):
             kind = "null" if v is None else ("true" if v else "false") if isinstance(v, bool) else {int: "integer", float: "real", str: "text", list: "array", dict: "object"}[type(v)]
             nested = isinstance(v, (dict, list))
             value = None if v is None else ("1" if v else "0") if isinstance(v, bool) else v if isinstance(v, str) else _dumps(v)
             me = len(out)
-            out.append((key, value, kind, None if nested else value, me, parent, full))
+            out.append((key, value, kind, None if nested else value, me, parent, full, holder))
             if nested and deep:
                 below(v, me, full)
 
         def below(v, me, full):
             members = v.items() if isinstance(v, dict) else enumerate(v)
             for k, y in members:
-                add(str(k), y, me, f"{full}.{k}" if isinstance(v, dict) else f"{full}[{k}]")
+                add(str(k), y, me, f"{full}.{k}" if isinstance(v, dict) else f"{full}[{k}]", full)
 
         if deep:
-            add(None, x, None, path)
+            add(None, x, None, path, path)
         elif isinstance(x, (dict, list)):
             below(x, None, path)
         else:
-            add(None, x, None, path)
+            add(None, x, None, path, path)
         return out
 
     @F.pandas_udf(_ROW)

@@ -114,8 +114,13 @@ def regexp(text: Column, pattern: str) -> Column:
 
 
 def length(x: Column) -> Column:
-    """Characters before the first NUL."""
-    return F.length(F.substring_index(x, "\0", 1))
+    """Characters before the first NUL; bytes of a BLOB; characters of a number's text."""
+    return F.when(F.typeof(x) == "binary", F.octet_length(x.cast("string"))).otherwise(F.length(F.substring_index(x.cast("string"), "\0", 1)))
+
+
+def octet_length(x: Column) -> Column:
+    """Bytes of a BLOB or of the UTF-8 of a value's text."""
+    return F.octet_length(x.cast("string"))
 
 
 def substr(x: Column, start: int | Column, n: int | Column | None = None) -> Column:
@@ -145,6 +150,44 @@ def trim(x: Column, chars: str = " ") -> Column:
     return F.btrim(x, F.lit(chars))
 
 
+def ltrim(x: Column, chars: str = " ") -> Column:
+    return F.ltrim(x, F.lit(chars))
+
+
+def rtrim(x: Column, chars: str = " ") -> Column:
+    return F.rtrim(x, F.lit(chars))
+
+
+def zeroblob(n: Column) -> Column:
+    """n zero bytes; none for a negative n."""
+    return F.unhex(F.repeat(F.lit("00"), F.greatest(n.cast("int"), F.lit(0))))
+
+
+def randomblob(n: Column) -> Column:
+    """n random bytes, at least one."""
+    return F.substring(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), lambda _: F.sha2(F.uuid(), 256)), "")), 1, F.greatest(n.cast("int"), F.lit(1)))
+
+
+def random() -> Column:
+    """A random 64-bit integer."""
+    return F.xxhash64(F.uuid())
+
+
+def iif(condition: Column, yes: Column, no: Column | None = None) -> Column:
+    """no, by default NULL, where the condition is false or NULL."""
+    return F.when(condition, yes).otherwise(no) if no is not None else F.when(condition, yes)
+
+
+def absolute(x: Column, text: bool = False) -> Column:
+    """abs; with text, x counts by its numeric prefix, as a double."""
+    return F.abs(number_of(x) if text else x)
+
+
+def likely(x: Column) -> Column:
+    """A hint to a planner, without effect: also unlikely and likelihood."""
+    return x
+
+
 def concat(*xs: Column) -> Column:
     """Skips NULLs."""
     return F.concat_ws("", *[x.cast("string") for x in xs])
@@ -178,8 +221,8 @@ def unicode(x: Column) -> Column:
 
 
 def hex_text(x: Column) -> Column:
-    """Hex of the UTF-8 of a value's text; binary columns may be passed as they are."""
-    return F.hex(x)
+    """Hex of a BLOB's bytes or of the UTF-8 of a value's text."""
+    return F.hex(x.cast("string"))
 
 
 def unhex(x: Column, ignore: str = "") -> Column:
@@ -200,7 +243,8 @@ def quote(x: Column, kind: str) -> Column:
 
 
 def sign(x: Column) -> Column:
-    return F.signum(x).cast("int")
+    """NULL for a text that is no number."""
+    return F.signum(x.try_cast("double")).cast("int")
 
 
 def round_half(x: Column, n: int = 0) -> Column:
@@ -227,8 +271,11 @@ def _finite(x: Column) -> Column:
     return F.when(F.isnan(x), None).otherwise(x)
 
 
-def math(name: str, *xs: Column) -> Column:
-    """sqrt, exp, ln, log10, log2, log (base 10), pow, mod, trigonometry and the like; NaN is NULL, mod of 0 is NULL."""
+def math(name: str, *xs: Column, integers: bool = False) -> Column:
+    """sqrt, exp, ln, log10, log2, log (base 10), pow, mod, trigonometry and the like; NaN is NULL, mod of 0 is NULL. integers: the
+    argument is an integer, which ceil, floor and trunc leave as it is."""
+    if integers and name in ("ceil", "ceiling", "floor", "trunc"):
+        return xs[0].cast("bigint")
     xs = tuple(x.cast("double") for x in xs)
     if name == "log":
         return _finite(F.log10(xs[0])) if len(xs) == 1 else _finite(F.try_divide(F.ln(xs[1]), F.ln(xs[0])))
@@ -248,6 +295,13 @@ def type_of(kind: str) -> str:
     return {"string": "text", "double": "real", "float": "real", "binary": "blob", "void": "null"}.get(kind, "integer")
 
 
+def storage_class(x: Column) -> Column:
+    """typeof of each value: null, integer, real, text or blob."""
+    kind = F.typeof(x)
+    known = F.when(kind == "string", "text").when(kind.isin("double", "float") | kind.startswith("decimal"), "real").when(kind == "binary", "blob").otherwise("integer")
+    return F.when(x.isNull(), "null").otherwise(known)
+
+
 def sha256(x: Column) -> Column:
     return F.unhex(F.sha2(x, 256))
 

@@ -31,7 +31,8 @@ def read_jsonl(spark: SparkSession, path: str, multi_line: bool = False) -> Data
 
 
 def parse_syslog(lines: DataFrame, column: str = "value", year: int = 1970) -> DataFrame:
-    """Syslog lines of either format: ts, host, app, pid, level, facility, message, msgid, sd. The old format has no year: it's given."""
+    """Syslog lines of either format: ts, host, app, pid, level, facility (its number, named by FACILITIES), message, msgid, sd. The old
+    format has no year: it's given."""
     x = F.col(column)
     new = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[[^\]]*\])+) ?(.*)$"
     old = r"^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}) (\S+) ([^\[:\s]+)(?:\[(\d+)\])?: ?(.*)$"
@@ -44,7 +45,7 @@ def parse_syslog(lines: DataFrame, column: str = "value", year: int = 1970) -> D
     old_ts = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(o(2), "  ", " 0")), F.lit("yyyy MMM dd HH:mm:ss"))
     return lines.filter(is_new | x.rlike(old)).select(
         F.when(is_new, n(2).try_cast("timestamp")).otherwise(old_ts).alias("ts"), pick(3, 3).alias("host"), pick(4, 4).alias("app"), pick(5, 5).alias("pid"),
-        names(LEVELS, F.pmod(pri, F.lit(8))).alias("level"), names(FACILITIES, F.call_function("div", pri, F.lit(8)).cast("int")).alias("facility"),
+        names(LEVELS, F.pmod(pri, F.lit(8))).alias("level"), F.call_function("div", pri, F.lit(8)).cast("int").alias("facility"),
         pick(8, 6).alias("message"), F.when(is_new, n(6)).alias("msgid"), F.when(is_new, n(7)).alias("sd"),
     )
 

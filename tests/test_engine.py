@@ -44,6 +44,68 @@ def test_scalars_against_sqlite(spark):
     assert one(spark, S.char(F.lit(960), F.lit(65), F.lit(0x1F600)), S.unicode(F.lit("é")), S.unhex(F.lit("4a4")), S.sign(F.lit(-3.5)), S.round_half(F.lit(-2.5))) == ("πA😀", 233, None, -1, -3.0)
 
 
+def test_more_scalars_against_sqlite(spark):
+    c = sqlite3.connect(":memory:")
+    blob = F.unhex(F.lit("410042"))
+    cases = [
+        ("length(x'410042')", S.length(blob)), ("length('ab' || char(0) || 'c')", S.length(F.lit("ab\0c"))), ("length(1234)", S.length(F.lit(1234))), ("octet_length('é')", S.octet_length(F.lit("é"))),
+        ("hex(12)", S.hex_text(F.lit(12))), ("hex(x'00ff')", S.hex_text(F.unhex(F.lit("00ff")))), ("ltrim('xxaxx', 'x')", S.ltrim(F.lit("xxaxx"), "x")), ("rtrim('xxaxx', 'x')", S.rtrim(F.lit("xxaxx"), "x")),
+        ("abs('-3.5x')", S.absolute(F.lit("-3.5x"), text=True)), ("abs('abc')", S.absolute(F.lit("abc"), text=True)), ("abs(-2)", S.absolute(F.lit(-2))), ("sign('abc')", S.sign(F.lit("abc"))), ("sign('-2')", S.sign(F.lit("-2"))),
+        ("iif(null, 1, 2)", S.iif(F.lit(None).cast("boolean"), F.lit(1), F.lit(2))), ("ceil(3)", S.math("ceil", F.lit(3), integers=True)), ("floor(-2.5)", S.math("floor", F.lit(-2.5))), ("trunc(7)", S.math("trunc", F.lit(7), integers=True)),
+        ("typeof('a')", S.storage_class(F.lit("a"))), ("typeof(1.5)", S.storage_class(F.lit(1.5))), ("typeof(2)", S.storage_class(F.lit(2))), ("typeof(x'00')", S.storage_class(blob)), ("typeof(null)", S.storage_class(F.lit(None).cast("int"))),
+        ("zeroblob(3)", S.zeroblob(F.lit(3))), ("zeroblob(-1)", S.zeroblob(F.lit(-1))), ("length(randomblob(40))", S.length(S.randomblob(F.lit(40)))), ("typeof(random())", S.storage_class(S.random())),
+    ]
+    got = one(spark, *[x for _, x in cases])
+    for (sql, _), g in zip(cases, got, strict=True):
+        try:
+            want = c.execute(f"select {sql}").fetchone()[0]
+        except sqlite3.OperationalError:
+            continue
+        assert (bytes(g) if isinstance(g, bytearray) else g) == want and (isinstance(g, bytearray) or type(g) is type(want)), (sql, g, want)
+
+
+def test_times_in_any_zone(spark):
+    c = sqlite3.connect(":memory:")
+    cases = [
+        ("datetime('2024-03-10 02:30:00')", D.datetime(D.micros_of_text(F.lit("2024-03-10 02:30:00")))), ("datetime('2024-07-01T10:00:00+02:00')", D.datetime(D.micros_of_text(F.lit("2024-07-01T10:00:00+02:00")))),
+        ("date('2024-07-01')", D.date(D.micros_of_text(F.lit("2024-07-01")))), ("datetime(1700000000, 'unixepoch')", D.datetime(D.time_value(F.lit(1700000000), "unixepoch"))), ("datetime(2460000.5)", D.datetime(D.time_value(F.lit(2460000.5)))),
+        ("datetime(2460000.5, 'auto')", D.datetime(D.time_value(F.lit(2460000.5), "auto"))), ("datetime(1700000000, 'auto', '+1 day')", D.datetime(D.time_value(F.lit(1700000000), "auto", "+1 day"))), ("time('10:20:30')", D.time(D.micros_of_text(F.lit("10:20:30")))),
+        ("'2024-01-01 00:00:01.250'", D.datetime(D.micros_of_text(F.lit("2024-01-01 00:00:01.25")), "subsec")), ("unixepoch('2024-03-10 02:30:00')", D.unixepoch(D.micros_of_text(F.lit("2024-03-10 02:30:00")))),
+    ]
+    held = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = one(spark, *[x for _, x in cases])
+            assert list(got) == [c.execute(f"select {sql}").fetchone()[0] for sql, _ in cases], zone
+            clock = F.lit("2024-03-10 02:30:00.000001").cast("timestamp_ntz")  # a time that New York skips
+            assert one(spark, D.micros_of(clock), D.micros_of(F.lit("1969-12-31 23:59:59").cast("timestamp_ntz"))) == (1710037800000001, -1000000), zone
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        assert one(spark, D.datetime(D.micros_of_text(F.lit("2024-07-01 10:00:00")), "localtime"), D.datetime(D.micros_of_text(F.lit("2024-07-01 12:00:00")), "utc")) == ("2024-07-01 12:00:00", "2024-07-01 10:00:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", held)
+
+
+def test_json_values_against_sqlite(spark):
+    c = sqlite3.connect(":memory:")
+    docs = ['{"a": true, "b": [false, null, 1, 1.0, "true", {"c": []}], "n": null, "s": "true"}', "[1,2]", "true", '"x"', "null", "3", "nope", None]
+    paths = ["$", "$.a", "$.b", "$.b[0]", "$.b[1]", "$.b[3]", "$.b[4]", "$.b[5].c", "$.n", "$.s", "$.b[#-1]", "$.zz", "$[1]"]
+    df = spark.createDataFrame([(d,) for d in docs], "d string")
+    got = df.select(*[J.extract(F.col("d"), p).alias(f"e{i}") for i, p in enumerate(paths)], *[J.type_at(F.col("d"), p).alias(f"t{i}") for i, p in enumerate(paths)], J.extract(F.col("d"), "$.a", "$.zz", "$.b[2]").alias("many")).collect()
+    text = lambda v: v if v is None or isinstance(v, str) else str(v)
+    for d, r in zip(docs, got, strict=True):
+        if d == "nope":
+            assert set(r) == {None}
+            continue
+        for i, p in enumerate(paths):
+            assert (r[f"e{i}"], r[f"t{i}"]) == tuple(map(text, c.execute("select json_extract(?1, ?2), json_type(?1, ?2)", (d, p)).fetchone())), (d, p)
+        assert r["many"] == c.execute("select json_extract(?, '$.a', '$.zz', '$.b[2]')", (d,)).fetchone()[0]
+    doc = F.lit(docs[0])
+    got = one(spark, J.arrow(doc, "a"), J.arrow_text(doc, "a"), J.arrow(doc, "s"), J.arrow(F.lit("[1,2]"), 1), J.arrow_text(F.lit("[1,2]"), 0), J.arrow(doc, "$.b[5]"))
+    sql = [(docs[0], "->'a'"), (docs[0], "->>'a'"), (docs[0], "->'s'"), ("[1,2]", "->1"), ("[1,2]", "->>0"), (docs[0], "->'$.b[5]'")]
+    assert list(got) == [text(c.execute(f"select ? {x}", (d,)).fetchone()[0]) for d, x in sql]
+
+
 def test_like_and_glob(spark):
     assert one(spark, S.like(F.lit("HeLLo"), "hell_"), S.like(F.lit("É"), "é"), S.glob(F.lit("ab.c"), "a[a-c].?"), S.glob(F.lit("abxc"), "a[^b]*")) == (True, False, True, False)
 
@@ -337,7 +399,7 @@ def test_tlsh_nearest_of_all(spark, tmp_path):
 def test_ingest_export(spark, tmp_path):
     lines = spark.createDataFrame([("<34>1 2003-10-11T22:14:15.003Z mach su - ID47 [x y=\"1\"] it failed",), ("<13>Feb  5 17:32:18 host app[12]: hello",), ("junk",)], "value string")
     got = ingest.parse_syslog(lines, year=2024).collect()
-    assert [(r.host, r.app, r.pid, r.level, r.facility, r.message) for r in got] == [("mach", "su", None, "crit", "auth", "it failed"), ("host", "app", "12", "notice", "user", "hello")]
+    assert [(r.host, r.app, r.pid, r.level, r.facility, r.message) for r in got] == [("mach", "su", None, "crit", 4, "it failed"), ("host", "app", "12", "notice", 1, "hello")]
     j = ingest.parse_journal(spark.createDataFrame([('{"__REALTIME_TIMESTAMP":"5","PRIORITY":"3","MESSAGE":"m","X":"1"}',)], "value string")).first()
     assert (j.ts, j.level, j.message, j.fields) == (5000, "err", "m", '{"X":"1"}')
     df = spark.createDataFrame([(1, 'a"b,\nc', 1.5), (2, None, None)], "id bigint, t string, v double")
