@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,11 @@ from sediment.functions import json_fns as J
 from sediment.functions import scalar as S
 from sediment.operators import fts, history, relational
 from sediment.operators.snapshot_diff import consecutive
-from sediment.runtime import table
-from sediment.streaming.series import Rollup, partition_start
+from sediment.runtime import table, workspace
+from sediment.sources import export, ingest
+from sediment.sources.kv import KeyValue, as_table
+from sediment.sources.lake import Lake, Table
+from sediment.streaming.series import Rollup, Series, partition_start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -142,10 +146,10 @@ def semi_exists(spark, d):
     return o.join(li.filter("l_quantity > 45 and l_discount < 0.03"), o.o_orderkey == li.l_orderkey, "left_semi").select("o_orderkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 def anti_not_in(spark, d):
     c, o = _t(spark, d, "customer", "orders")
-    return c.join(o.filter("o_custkey is not null"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    return relational.not_in_value(c, "c_custkey", o.filter("o_totalprice > 300000"), "o_custkey", "v").filter("v = 1").select("c_custkey")
 
 
 @query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
@@ -213,7 +217,7 @@ def agg_total(spark, d):
 
 @query("select n_regionkey, string_agg(n_name, '; ' order by n_name desc) as names from nation group by 1")
 def group_concat_ordered(spark, d):
-    return _t(spark, d, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, '; ') within group (order by n_name desc)").alias("names"))
+    return _t(spark, d, "nation").groupBy("n_regionkey").agg(A.group_concat(F.col("n_name"), "; ", F.col("n_name"), descending=True).alias("names"))
 
 
 @query("select o_custkey, max(o_totalprice) as most, arg_max(o_orderkey, o_totalprice) as o_orderkey from orders group by 1")
@@ -278,10 +282,10 @@ def intersect(spark, d):
     return relational.compound(li.filter("l_quantity > 49").select(F.col("l_partkey").alias("k")), ("intersect", p.filter("p_size < 10").select("p_partkey")))
 
 
-@query("select c_custkey as k from customer except select o_custkey from orders")
+@query("select c_custkey as k from customer except select o_custkey from orders where o_orderstatus = 'F'")
 def except_(spark, d):
     c, o = _t(spark, d, "customer", "orders")
-    return relational.compound(c.select(F.col("c_custkey").alias("k")), ("except", o.select("o_custkey")))
+    return relational.compound(c.select(F.col("c_custkey").alias("k")), ("except", o.filter("o_orderstatus = 'F'").select("o_custkey")))
 
 
 @query("(select n_nationkey as k from nation union select s_nationkey from supplier) intersect select c_nationkey from customer where c_nationkey < 9")
@@ -300,9 +304,9 @@ def cte_chain(spark, d):
     return a.join(c, c.c_custkey == a.o_custkey).select("c_name", _r(F.col("t"), 2).alias("t"))
 
 
-@query("with recursive r(n) as (select 1 union all select n + 1 from r where n < 50) select n from r")
+@query("with recursive r(n) as (select 1 union all select n + 1 from r where n < 12) select n from r")
 def recursive_union_all(spark, d):
-    return spark.sql("with recursive r(n) as (select 1 union all select n + 1 from r where n < 50) select n from r")
+    return relational.recursive(spark.createDataFrame([(1,)], "n int"), lambda r: r.filter("n < 12").select(F.col("n") + 1), distinct=False)
 
 
 @query("with recursive r(k) as (select 0 union select (k * 7 + 3) % 25 from r) select k, n_name from r join nation on n_nationkey = k")
@@ -336,9 +340,9 @@ def json_object(spark, d):
     return _t(spark, d, "nation").select("n_nationkey", J.object_(name=F.col("n_name"), region=F.col("n_regionkey"), none=F.lit(None).cast("string")).alias("j"))
 
 
-@query("select event_id, '{\"k\":' || (props->>'$.k') || ',\"t\":\"' || event_type || '\"}' as s, '{}' as r from events")
+@query("select event_id, '{\"k\":' || (props->>'$.k') || ',\"t\":\"' || event_type || '\"}' as s, '{\"t\":\"' || event_type || '\"}' as r from events")
 def json_edit(spark, d):
-    return _t(spark, d, "events").select("event_id", J.set_(F.col("props"), "$.t", F.col("event_type")).alias("s"), J.remove(F.col("props"), "$.k").alias("r"))
+    return _t(spark, d, "events").select("event_id", J.set_(F.col("props"), "$.t", F.col("event_type")).alias("s"), J.remove(J.set_(F.col("props"), "$.t", F.col("event_type")), "$.k").alias("r"))
 
 
 # -- dates -------------------------------------------------------------------------------------------------------------
@@ -444,15 +448,36 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
     return e.select((D.micros_of(F.col("ts")) * 1000).alias("ts"), F.col("event_type").alias("tag"), "value", "user_id", F.col("event_id").alias("seq"))
 
 
-@query("select event_id, ts from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' order by ts desc, event_id desc")
+def _kept_series(spark: SparkSession, d: str, name: str, retention: str | None = None) -> Series:
+    """The events as a series on a lake of its own: appended in order of time, not sealed yet."""
+    series = Series(Lake(spark, workspace(spark)), name, "ts bigint, tag string, value double, user_id bigint, event_id bigint", "day", retention, ("tag",), seal_rows=1 << 62)
+    series.append(_series(spark, d).withColumnRenamed("seq", "event_id"), ["ts", "event_id"])
+    return series
+
+
+def _ns(day: str) -> int:
+    return (date.fromisoformat(day) - date(1970, 1, 1)).days * 86_400 * 10**9
+
+
+@query("select event_id, epoch_us(ts) * 1000 as ts from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' order by ts desc, event_id desc")
 def ts_range_desc(spark, d):
-    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05", "2024-01-20"))
-    return _t(spark, d, "events").filter((F.col("ts") >= lo) & (F.col("ts") < hi)).select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id"))
+    s = _kept_series(spark, d, "m")
+    s.seal()
+    return s.rows(_ns("2024-01-05"), _ns("2024-01-20"), descending=True, columns=["event_id", "ts"])
 
 
 @query("select event_id, value from events where event_type = 'click' and value > 10")
 def ts_tag_eq(spark, d):
-    return _t(spark, d, "events").filter("event_type = 'click' and value > 10").select("event_id", "value")
+    s = _kept_series(spark, d, "m")
+    s.seal()
+    return s.rows(where="tag = 'click' and value > 10", columns=["event_id", "value"])
+
+
+@query("select event_id from events where event_type in ('click', 'view')")
+def ts_search(spark, d):
+    """Words of a column, one by its start, over sealed and buffered rows."""
+    s = _kept_series(spark, d, "m")
+    return s.search("tag", "CLI*").unionByName(s.search("tag", "view")).select("event_id")
 
 
 def _partition(unit: str):
@@ -492,20 +517,100 @@ def rollup_merge_equals_full(spark, d):
     return _rounded(ROLLUP.final(ROLLUP.merged(ROLLUP.states(s.filter("seq % 3 = 0")).unionByName(ROLLUP.states(s.filter("seq % 3 <> 0"))))))
 
 
-@query("select event_id as seq from events where date_trunc('day', ts) + interval 1 day > (select max(ts) - interval 10 day from events)")
+@query(f"select {_BUCKET} as bucket, event_type as tag, {_ROLLED} from events group by 1, 2")
+def rollup_stored(spark, d):
+    """A rollup made over sealed rows, fed by a second seal, read while the last rows are still buffered."""
+    e = _series(spark, d).withColumnRenamed("seq", "event_id")
+    s = Series(Lake(spark, workspace(spark)), "m", "ts bigint, tag string, value double, user_id bigint, event_id bigint", "week", seal_rows=1 << 62)
+    for i in range(3):
+        s.append(e.filter(F.col("event_id") % 3 == i), ["ts", "event_id"])
+        if i == 1:
+            s.seal()
+        if i == 0:
+            s.seal()
+            s.create_rollup(Rollup("r", "6h", ("tag",), {k: v for k, v in ROLLUP.aggregates.items() if k not in ("f", "l")} | {k: ROLLUP.aggregates[k] for k in ("f", "l")}))
+    return _rounded(s.rollup("r"))
+
+
+@query("select event_id from events where date_trunc('day', ts) + interval 1 day > (select max(ts) - interval 10 day from events)")
 def retention(spark, d):
-    s = _series(spark, d)
-    cutoff = s.agg((F.max("ts") - 10 * 86_400 * 10**9).alias("cut"))
-    return s.join(F.broadcast(cutoff), partition_start(F.col("ts"), "day") + 86_400 * 10**9 > F.col("cut")).select("seq")  # one row
+    s = _kept_series(spark, d, "m", "10d")
+    s.seal(now_ns=s.rows().agg(F.max("ts")).first()[0])
+    return s.rows(columns=["event_id"])
 
 
 # -- versions ----------------------------------------------------------------------------------------------------------
 
 
-@query("select archive, generation, path, size from (select *, row_number() over (partition by archive, generation, path order by loaded_at desc, size) as rn from zx_files where generation = 2) where rn = 1")
+_LISTED = """with r as (select archive, path, size, generation, row_number() over (partition by archive, generation, path order by loaded_at desc nulls last, size desc nulls last) as rn
+  from zx_files where generation <= 3 and archive is not null and path is not null),
+l as (select archive, path, size, generation from r where rn = 1)"""
+
+
+def _listings(spark: SparkSession, d: str) -> Lake:
+    """Three listings put over each other in one keyed table: its generations 2, 3 and 4."""
+    lake = Lake(spark, workspace(spark))
+    lake.create("files", Table("archive string, path string, size bigint", key=("archive", "path")))
+    f = _t(spark, d, "zx_files").filter("archive is not null and path is not null").withColumn("__order", D.micros_of(F.col("loaded_at")))
+    for g in (1, 2, 3):
+        lake.insert("files", f.filter(F.col("generation") == g), conflict="replace")
+    return lake
+
+
+@query(f"{_LISTED} select archive, path, arg_max(size, generation) filter (where size is not null or true) as size from (select archive, path, size, generation from l where generation <= 2 qualify row_number() over (partition by archive, path order by generation desc) = 1) group by 1, 2")
 def as_of_generation(spark, d):
-    f = _t(spark, d, "zx_files").filter("generation = 2")
-    return f.groupBy("archive", "generation", "path").agg(F.max_by("size", F.struct("loaded_at", -F.col("size"))).alias("size"))
+    return _listings(spark, d).read("files", generation=3)
+
+
+@query(f"""{_LISTED}, s as (select *, lag(generation) over w as before, lag(size) over w as old from l window w as (partition by archive, path order by generation))
+select generation + 1 as generation, case when before is null then 'insert' else 'update' end as op, archive, path, size from s where before is null or size is distinct from old""")
+def lake_history(spark, d):
+    return _listings(spark, d).history("files").drop("time_ns")
+
+
+@query("""with n as (select o_orderkey as id, o_orderstatus as s, o_totalprice as p from orders where o_orderkey % 3 = 0),
+u as (select o_orderkey as id, 'U' as s, o_totalprice * 2 as p from orders where o_orderkey % 2 = 0),
+m as (select coalesce(n.id, u.id) as id, case when n.id is null or u.p > 100000 then coalesce(u.s, n.s) else n.s end as s, coalesce(n.p, u.p) as p from n full join u on n.id = u.id)
+select id, case when p < 50000 then 'small' else s end as s, round(p, 2) as p from m where s <> 'P'""")
+def lake_dml(spark, d):
+    """Insert, upsert with a condition, update and delete in one transaction."""
+    lake, o = Lake(spark, workspace(spark)), _t(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
+    lake.create("t", Table("id bigint, s string, p double", key=("id",), not_null=("s",), checks=("p >= 0",)))
+    lake.begin()
+    lake.insert("t", rows.filter("id % 3 = 0"))
+    lake.upsert("t", rows.filter("id % 2 = 0").withColumns({"s": F.lit("U"), "p": F.col("p") * 2}), {"s": "excluded.s"}, "excluded.p > 100000")
+    lake.delete("t", "s = 'P'")
+    lake.update("t", {"s": "'small'"}, "p < 50000")
+    lake.commit()
+    return lake.read("t").withColumn("p", _r(F.col("p"), 2))
+
+
+# -- readers and writers ------------------------------------------------------------------------------------------------
+
+
+@query("select cast(n_nationkey as varchar) as n_nationkey, n_name || ', \"x\"' as n_name, cast(n_regionkey as varchar) as n_regionkey from nation")
+def csv_roundtrip(spark, d):
+    folder = workspace(spark)
+    export.write_csv(_t(spark, d, "nation").withColumn("n_name", F.concat("n_name", F.lit(', "x"'))), folder)
+    return ingest.read_csv(spark, folder)
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice from orders")
+def jsonl_roundtrip(spark, d):
+    folder = workspace(spark)
+    export.write_jsonl(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), folder)
+    return ingest.read_jsonl(spark, folder).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("select epoch_us(date_trunc('second', ts)) as us, 'h' || (user_id % 7) as host, event_type as app, cast(event_id as varchar) as pid, cast(user_id % 8 as int) as level, cast(user_id % 24 as int) as facility, props as message from events")
+def syslog_parse(spark, d):
+    e = _t(spark, d, "events")
+    pri = (F.col("user_id") % 24) * 8 + F.col("user_id") % 8
+    line = F.concat(F.lit("<"), pri.cast("string"), F.lit(">1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" h"), (F.col("user_id") % 7).cast("string"), F.lit(" "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.lit(" - - "), F.col("props"))
+    p = ingest.parse_syslog(e.select(line.alias("value")))
+    level = F.array_position(F.array(*map(F.lit, ingest.LEVELS)), F.col("level")) - 1
+    return p.select(F.unix_micros("ts").alias("us"), "host", "app", "pid", level.cast("int").alias("level"), "facility", "message")
 
 
 @query(
@@ -540,20 +645,23 @@ def sha_duplicates(spark, d):
 
 @query("select c_name as key, c_mktsegment as value from customer where c_name >= 'Customer#00000001' and c_name < 'Customer#00000002' order by 1")
 def kv_prefix_scan(spark, d):
-    kv = _t(spark, d, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
-    return kv.filter(F.col("key").startswith("Customer#00000001")).orderBy("key")
+    kv = KeyValue(Lake(spark, workspace(spark)), "kv")
+    kv.put(_t(spark, d, "customer").select(F.col("c_name").cast("binary").alias("key"), F.col("c_mktsegment").cast("binary").alias("value")))
+    return as_table(kv.scan(prefix=b"Customer#00000001")).select("key", "value")
 
 
-@query("select event_id, props from events where epoch_us(ts) + 86400000000 * (user_id % 30) > (select epoch_us(max(ts)) from events)")
+@query("select cast(event_id as varchar) as key, props as value from events where epoch_ms(ts) + 86400000 * (user_id % 30) > (select epoch_ms(max(ts)) from events)")
 def kv_ttl(spark, d):
-    e = _t(spark, d, "events").withColumn("expires", D.micros_of(F.col("ts")) + F.lit(D.DAY) * (F.col("user_id") % 30))
-    now = e.agg(D.micros_of(F.max("ts")).alias("now"))
-    return e.join(F.broadcast(now), F.col("expires") > F.col("now")).select("event_id", "props")  # one row
+    e = _t(spark, d, "events")
+    ms = lambda c: F.call_function("div", D.micros_of(c), F.lit(1000))
+    kv = KeyValue(Lake(spark, workspace(spark)), "kv")
+    kv.put(e.select(F.col("event_id").cast("string").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"), (ms(F.col("ts")) + F.lit(86_400_000) * (F.col("user_id") % 30)).alias("expires")))
+    return as_table(kv.scan(now_ms=e.agg(ms(F.max("ts"))).first()[0])).select("key", "value")
 
 
 # -- full text ---------------------------------------------------------------------------------------------------------
 
-_TOKENS = "with t as (select doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}]+') as w from documents)"
+_TOKENS = "with t as (select doc_id, regexp_extract_all(lower(strip_accents(regexp_replace(coalesce(text, ''), '\\p{M}', ' ', 'g'))), '[\\p{L}\\p{N}]+') as w from documents)"
 
 
 @query(f"{_TOKENS} select doc_id from t where list_contains(w, 'index') and list_contains(w, 'blocks')")
@@ -591,9 +699,26 @@ def meta_weighted(spark, d):
     return fts.weighted_search(m, "sha256", {"title": 3.0, "description": 1.0, "tags": 2.0}, ["index"], 50).withColumn("score", _r(F.col("score"), 6))
 
 
-@query()
+@query(f"{_TOKENS} select doc_id from t where list_contains(w, 'sciezka') or list_contains(w, 'glowka') or list_contains(w, 'dejente') or list_contains(w, 'lasst')")
+def fts_fold(spark, d):
+    """Words without their marks find those with them."""
+    return fts.search(_t(spark, d, "documents"), "doc_id", ["text"], "sciezka OR ŚCIEŻKA OR dejenté OR lässt").select("doc_id")
+
+
+@query(f"{_TOKENS} select doc_id from t where ' ' || array_to_string(w, ' ') || ' ' like '% the wrong order %' and list_contains(w, 'mirror')")
+def fts_index(spark, d):
+    """A kept index, filled in two generations, then searched."""
+    index = fts.TextIndex(Lake(spark, workspace(spark)), "docs", "doc_id", ["text"])
+    docs = _t(spark, d, "documents")
+    index.add(docs.filter("doc_id % 2 = 0"))
+    index.add(docs.filter("doc_id % 2 = 1"))
+    return index.search('"the wrong order" mirror').select("doc_id")
+
+
+@query("select doc_id, 'title' as \"column\", w as token, i - 1 as position from (select doc_id, unnest(x) as w, generate_subscripts(x, 1) as i from (select doc_id, regexp_extract_all(lower(strip_accents(coalesce(title, ''))), '[\\p{L}\\p{N}]+') as x from documents where coalesce(title, '') not similar to '.*[łøđßæœ].*'))")
 def fts_postings(spark, d):
-    return fts.postings(_t(spark, d, "documents"), "doc_id", ["title"])
+    plain = _t(spark, d, "documents").filter(~F.coalesce(F.col("title"), F.lit("")).rlike("[łøđßæœ]"))
+    return fts.postings(plain, "doc_id", ["title"])
 
 
 # -- similarity --------------------------------------------------------------------------------------------------------

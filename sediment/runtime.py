@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+
+
 def small_or_not(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows; else unchanged, for Spark to shuffle.
 

@@ -24,7 +24,10 @@ class KeyValue:
         return self.lake.read(self.name, generation).filter(F.col("expires").isNull() | (F.col("expires") > now))
 
     def put(self, rows: DataFrame, ttl: str | None = None, now_ms: int | None = None) -> int:
-        """Rows (key, value) in one generation; a key there is overwritten. ttl: else the store's own, else none."""
+        """Rows (key, value[, expires]) in one generation; a key there is overwritten. expires is in milliseconds; without that column
+        the entries live for ttl, else the store's own, else for ever."""
+        if "expires" in rows.columns:
+            return self.lake.insert(self.name, rows, conflict="replace")
         life = ttl or self.ttl
         at = now_ms if now_ms is not None else time.time_ns() // 1_000_000
         expires = F.lit(at + duration_ns(life) // 1_000_000) if life else F.lit(None)
