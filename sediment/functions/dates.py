@@ -22,16 +22,16 @@ def micros_of(x: Column) -> Column:
 def micros_of_text(x: Column) -> Column:
     """Microseconds of YYYY-MM-DD[ T]HH:MM[:SS[.f]][Z|+-HH:MM], HH:MM[:SS] (on 2000-01-01) or a Julian number; NULL for other texts.
     A time without a zone is UTC."""
-    t = F.trim(x)
+    t = F.regexp_replace(F.trim(x), r"^((?:\d{4}-\d{2}-\d{2}[ T])?\d{2}:\d{2})(?=\s*(?:Z|[+-]\d{2}:\d{2})?$)", "$1:00")
     day = t.rlike(r"^\d{4}-\d{2}-\d{2}$")
     iso = t.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:\d{2})?$")
-    clock = x.rlike(r"^\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?$")
+    clock = t.rlike(r"^\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?$")
     julian = x.rlike(r"^\d+(?:\.\d+)?$")
     zoned = F.when(t.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), F.regexp_replace(t, r"\s+(?=Z|[+-]\d{2}:\d{2}$)", "")).otherwise(F.concat(t, F.lit("Z")))
     return (
         F.when(day, F.unix_micros(F.concat(t, F.lit(" 00:00:00Z")).try_cast("timestamp")))
         .when(iso, F.unix_micros(zoned.try_cast("timestamp")))
-        .when(clock, F.unix_micros(F.concat(F.lit("2000-01-01 "), x, F.lit("Z")).try_cast("timestamp")))
+        .when(clock, F.unix_micros(F.concat(F.lit("2000-01-01 "), t, F.lit("Z")).try_cast("timestamp")))
         .when(julian, _julian_micros(x.try_cast("double")))
     )
 

@@ -126,17 +126,17 @@ def type_at(doc: Column, path: str = "$") -> Column:
 
     def name(x):
         v = _find(x, p)
-        if v is _NONE:
-            return None
-        if v is None:
-            return "null"
-        if isinstance(v, bool):
-            return "true" if v else "false"
-        return {int: "integer", float: "real", str: "text", list: "array", dict: "object"}[type(v)]
+        return None if v is _NONE else type_name(v)
 
     return _edit(name, doc)
 
 
+def type_name(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return {type(None): "null", int: "integer", float: "real", str: "text", list: "array", dict: "object"}[type(v)]
+
+
 def _edit(change, doc: Column, *values: Column) -> Column:
     @F.pandas_udf(T.StringType())
     def run(docs: pd.Series, *more: pd.Series) -> pd.Series:
@@ -199,38 +199,45 @@ def remove(doc: Column, path: str) -> Column:
     p = steps(path)
 
     def change(x):
-        if not p:
-            return None
-        at = _find(x, p[:-1])
-        s = p[-1]
-        if isinstance(at, dict) and isinstance(s, str):
-            at.pop(s, None)
-        elif isinstance(at, list) and not isinstance(s, str):
-            i = s if isinstance(s, int) else len(at) + s[1]
-            if 0 <= i < len(at):
-                del at[i]
-        return _dumps(x)
+        v = removed(x, p)
+        return None if v is _NONE else _dumps(v)
 
     return _edit(change, doc)
 
 
+def removed(x, path: list):
+    """x without what stands at the path; nothing of it without a path."""
+    if not path:
+        return _NONE
+    at, s = _find(x, path[:-1]), path[-1]
+    if isinstance(at, dict) and isinstance(s, str):
+        at.pop(s, None)
+    elif isinstance(at, list) and not isinstance(s, str):
+        i = s if isinstance(s, int) else len(at) + s[1]
+        if 0 <= i < len(at):
+            del at[i]
+    return x
+
+
+def merged(a, b):
+    """a under the merge patch b: null removes a key, objects merge, all else replaces."""
+    if not isinstance(b, dict):
+        return b
+    a = dict(a) if isinstance(a, dict) else {}
+    for k, v in b.items():
+        if v is None:
+            a.pop(k, None)
+        else:
+            a[k] = merged(a.get(k), v)
+    return a
+
+
 def patch(doc: Column, change: Column) -> Column:
     """Merge patch: null removes a key, objects merge, all else replaces."""
 
-    def merge(a, b):
-        if not isinstance(b, dict):
-            return b
-        a = dict(a) if isinstance(a, dict) else {}
-        for k, v in b.items():
-            if v is None:
-                a.pop(k, None)
-            else:
-                a[k] = merge(a.get(k), v)
-        return a
-
     def run(x, p):
         y = _loads(p)
-        return None if y is _NONE else _dumps(merge(x, y))
+        return None if y is _NONE else _dumps(merged(x, y))
 
     return _edit(run, doc, change)
 
@@ -262,40 +269,38 @@ def tree(df: DataFrame, doc: str, path: str = "$") -> DataFrame:
 _ROW = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("key", T.StringType()), ("value", T.StringType()), ("type", T.StringType()), ("atom", T.StringType()), ("id", T.IntegerType()), ("parent", T.IntegerType()), ("fullkey", T.StringType()), ("path", T.StringType()))]))
 
 
-def _walk(df: DataFrame, doc: str, path: str, deep: bool) -> DataFrame:
-    p = steps(path)
+def members(text: str | None, path: str, deep: bool) -> list[tuple]:
+    """The rows of each and tree for one document."""
+    x = _loads(text)
+    x = _NONE if x is _NONE else _find(x, steps(path))
+    if x is _NONE:
+        return []
+    out: list = []
 
-    def rows(text):
-        x = _loads(text)
-        x = _NONE if x is _NONE else _find(x, p)
-        if x is _NONE:
-            return []
-        out: list = []
-
-        def add(key, v, parent, full, holder):
-            kind = "null" if v is None else ("true" if v else "false") if isinstance(v, bool) else {int: "integer", float: "real", str: "text", list: "array", dict: "object"}[type(v)]
-            nested = isinstance(v, (dict, list))
-            value = None if v is None else ("1" if v else "0") if isinstance(v, bool) else v if isinstance(v, str) else _dumps(v)
-            me = len(out)
-            out.append((key, value, kind, None if nested else value, me, parent, full, holder))
-            if nested and deep:
-                below(v, me, full)
-
-        def below(v, me, full):
-            members = v.items() if isinstance(v, dict) else enumerate(v)
-            for k, y in members:
-                add(str(k), y, me, f"{full}.{k}" if isinstance(v, dict) else f"{full}[{k}]", full)
-
-        if deep:
-            add(None, x, None, path, path)
-        elif isinstance(x, (dict, list)):
-            below(x, None, path)
-        else:
-            add(None, x, None, path, path)
-        return out
+    def add(key, v, parent, full, holder):
+        nested = isinstance(v, (dict, list))
+        value = None if v is None else ("1" if v else "0") if isinstance(v, bool) else v if isinstance(v, str) else _dumps(v)
+        me = len(out)
+        out.append((key, value, type_name(v), None if nested else value, me, parent, full, holder))
+        if nested and deep:
+            below(v, me, full)
+
+    def below(v, me, full):
+        for k, y in v.items() if isinstance(v, dict) else enumerate(v):
+            add(str(k), y, me, f"{full}.{k}" if isinstance(v, dict) else f"{full}[{k}]", full)
+
+    if deep or not isinstance(x, (dict, list)):
+        add(None, x, None, path, path)
+    else:
+        below(x, None, path)
+    return out
+
+
+def _walk(df: DataFrame, doc: str, path: str, deep: bool) -> DataFrame:
+    steps(path)
 
     @F.pandas_udf(_ROW)
     def run(docs: pd.Series) -> pd.Series:
-        return pd.Series([rows(t) for t in docs])
+        return pd.Series([members(t, path, deep) for t in docs])
 
     return df.withColumn("__m", F.explode(run(F.col(doc)))).select(*df.columns, "__m.*")

@@ -331,6 +331,11 @@ def crc64_udf():
 
 
 def printf(template: str, *xs: Column) -> Column:
+    """printf_udf(template) of xs."""
+    return printf_udf(template)(*(xs or (F.lit(0),)))
+
+
+def printf_udf(template: str):
     """%d %i %f %e %g %s %x %X %o %c %q %Q %w %% with flags - + 0 space , and ! # and widths; in Arrow batches.
 
     A missing or NULL number prints as 0, a NULL text as empty, under %Q as NULL.
@@ -379,4 +384,4 @@ def printf(template: str, *xs: Column) -> Column:
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series([render(tuple(None if pd.isna(v) else v for v in row)) for row in zip(*columns, strict=True)])
 
-    return run(*(xs or (F.lit(0),)))
+    return run
