@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sediment.runtime import small_or_not
+from sediment.runtime import cut, small_or_not
 
 #: A chunk has this many keys on average.
 CHUNK_KEYS = 32
@@ -117,7 +117,7 @@ def snapshot_changes(df: DataFrame, group: str, version: str, key: str, loaded:
         F.col(group).cast("string").alias("group"), F.col(key).cast("string").alias("key"), F.col(version).cast("bigint").alias("version"),
         F.unix_micros(F.col(loaded).cast("timestamp")).alias("loaded"), F.col(size).cast("bigint").alias("size"), F.col(digest).cast("binary").alias("digest"),
     ).filter("group is not null and key is not null and version is not null")
-    versions = small_or_not(consecutive(rows, "group", "version"))
+    versions = small_or_not(cut(consecutive(rows, "group", "version")))  # one row a snapshot, found once
     hashed = rows.join(versions, ["group", "version"]).withColumns(
         {
             "h1": F.xxhash64("key", F.coalesce("digest", F.lit(b"")), F.coalesce("size", F.lit(-1).cast("bigint"))),
