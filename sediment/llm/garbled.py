@@ -55,6 +55,8 @@ ODDS = 3
 LETTER_NATS, LETTER_MEAN, RARE = 8.0, 2.5, 1e-4
 #: A letter that stands alone in at most this share of the texts that the commonest trigram has may be a garbled dash.
 LONE = 0.01
+#: Tokens that a worker keeps weighed.
+KEEP = 200_000
 #: A text can be garbled so many times over.
 ROUNDS = 4
 #: Punctuation and signs that ordinary texts hold (a fixed list).
@@ -158,6 +160,7 @@ class Restorer:
     def __init__(self, counts: dict[str, int], letters: dict[str, int] | None = None):
         """letters: trigrams around letters outside ASCII with their numbers of texts (`letter_counts`); without them only patterns are used."""
         self.counts, self.letters = counts, letters or {}
+        self._weighed: dict[str, dict[int, float]] = {}
         self.floor = 0.5 + RARE * self.letters.get("", 0)
         held: Counter = Counter()
         for w, n in counts.items():
@@ -338,6 +341,14 @@ class Restorer:
         """The places outside ASCII that speak for or against a token: letters, and signs between letters."""
         return [i for i, c in enumerate(token) if ord(c) > 127 and (c.isalpha() or (0 < i < len(token) - 1 and token[i - 1].isalpha() and token[i + 1].isalpha() and c not in _JOINS))]
 
+    def _weights(self, token: str) -> dict[int, float]:
+        """The weight of each of a token's odd places; a worker weighs each token once."""
+        if (known := self._weighed.get(token)) is None:
+            if len(self._weighed) >= KEEP:
+                self._weighed.clear()
+            known = self._weighed[token] = {i: self._weight(token, i) for i in self._odd(token)}
+        return known
+
     def _from_letters(self, text: str) -> tuple[str, bool]:
         """Sentences turned back under the pair that makes their letters so much likelier that chance is ruled out."""
         if not self.letters:
@@ -351,11 +362,11 @@ class Restorer:
             tokens = []
             for x in _PIECE.finditer(unit):
                 t = x[0]
-                shown = t[0] in _OPEN and t.rstrip(".,;:!?")[-1:] in _CLOSE or _SHOWS.search(unit[max(0, x.start() - 60) : x.start()])
-                if not t.isascii() and not shown and (places := self._odd(t)):
-                    tokens.append((x.start(), x.end(), t, {i: self._weight(t, i) for i in places}))
-            # most sentences end here: nothing in them is rare
-            tokens = [x for x in tokens if min(x[3].values()) <= rare]
+                have = self._weights(t)
+                # most pieces end here: nothing in them is rare
+                if not have or min(have.values()) > rare or (t[0] in _OPEN and t.rstrip(".,;:!?")[-1:] in _CLOSE) or _SHOWS.search(unit[max(0, x.start() - 60) : x.start()]):
+                    continue
+                tokens.append((x.start(), x.end(), t, have))
             best: tuple[float, list[tuple[int, int, str]]] = (0.0, [])
             for true, wrong in SINGLE_BYTE if tokens else ():
                 gain, places, turned = 0.0, 0, []
@@ -401,7 +412,7 @@ _LATIN = re.compile("[A-Za-z]")
 #: Signs that open and close a quotation together, and dashes (fixed lists).
 _PAIRED, _DASHES = {"“”", "‘’", "„“", "‚‘", "«»", "‹›", "„”", "”“"}, {"–", "—"}
 #: A piece of ASCII between two other characters, as garbled quotation marks leave it.
-_IN_SIGNS = re.compile(r"(?<![^\s(])([^\x00-\x7f])(?=[\x21-\x7e]*[A-Za-z0-9])[\x21-\x7e]+([^\x00-\x7f])(?=[\s.,;:!?)]|$)")
+_IN_SIGNS = re.compile(r"(?<![^\s(])([^\x00-\x7f])(?=[\x21-\x7e]*?[A-Za-z0-9])[\x21-\x7e]++([^\x00-\x7f])(?=[\s.,;:!?)]|$)")
 _OPEN, _CLOSE = set("“\"‘'«„`‹"), set("”\"’'»“`›")
 #: Letters that are words by themselves in some language (a fixed list).
 _WORD_LETTERS = set("àáéèêóòôíìåöäüúùßияівокусєї")
@@ -411,8 +422,8 @@ _JOINS = set("’‘–—…·-­/→×«»“”„‐‑−@&+=|_¬•‹›"
 _LOST = re.compile("�+")
 _UNIT = re.compile(r"[^\n]*?(?:[.!?…](?=\s)|\n|$)\s*|[^\n]+")
 _TOKEN = re.compile(r"[^\s]+")
-#: Parted by plain white space only: a fixed space may be a garbled letter.
-_PIECE = re.compile(r"[^ \t\r\n\f\v]+")
+#: Pieces with characters outside ASCII, parted by plain white space only: a fixed space may be a garbled letter.
+_PIECE = re.compile(r"(?<![^ \t\r\n\f\v])[^ \t\r\n\f\v\x80-\U0010ffff]*+[^\x00-\x7f][^ \t\r\n\f\v]*")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
