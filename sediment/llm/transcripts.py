@@ -14,7 +14,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -421,36 +421,39 @@ def _form_counts(df: DataFrame, content: str, kind: str, spoken: str, model: Mod
     rows = df.select(F.col(content).cast("string").alias("c"), F.col(kind).alias("k")).filter("c is not null")
     rows = spread(rows)
 
-    def _batch(held: Counter) -> pa.RecordBatch:
+    def _batch(tokens: dict[tuple[str, str], Counter]) -> pa.RecordBatch:
+        """Counts of tokens as counts of their forms; of all tokens under form ''."""
+        held: Counter = Counter()
+        for (lang, what), counter in tokens.items():
+            for t, c in counter.items():
+                if what in "ab":
+                    held[lang, "", what] += c
+                if form := form_of(t):
+                    held[lang, form, what] += c
         columns = [[k[j] for k in held] for j in range(3)]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(held.values()), pa.int64())], names=["lang", "form", "what", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        forms: dict[str, str | None] = {}
+        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        n = 0
         texts = ((kind_ == spoken, [x for s in parse(text) for x in speech(s.text)] if kind_ == spoken else sentences(text, kind_)) for batch in batches for text, kind_ in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for talk, ss, classes in batched(shared.value, texts):
-            for s, (lang, p, n, _) in zip(ss, classes, strict=True):
-                if n < 3 or p < 0.9:
+            for s, (lang, p, count, _) in zip(ss, classes, strict=True):
+                if count < 3 or p < 0.9:
                     continue
                 tokens = s.split()
-                for i, t in enumerate(tokens):
-                    if (form := forms.get(t)) is None:
-                        if len(forms) >= KEEP:
-                            forms.clear()
-                        form = forms[t] = form_of(t)
-                    held[lang, "", "a" if talk else "b"] += 1
-                    if not form:
-                        continue
-                    held[lang, form, "a" if talk else "b"] += 1
-                    if talk:
-                        if t.endswith(("...", "…")) or (0 < i < len(tokens) - 1 and tokens[i - 1] in "–—-" and tokens[i + 1] in "–—-"):
-                            held[lang, form, "p"] += 1
-                        elif i and t[0].isupper():
-                            held[lang, form, "k"] += 1
-            if len(held) > 200_000:
+                n += len(tokens)
+                held[lang, "a" if talk else "b"].update(tokens)
+                if not talk:
+                    continue
+                paused = [i for i, t in enumerate(tokens) if t.endswith(("...", "…")) or (t in "–—-" and i + 2 < len(tokens) and tokens[i + 2] in "–—-")] if "..." in s or "…" in s or "–" in s or "—" in s or " - " in s else []
+                paused = {i + 1 if tokens[i] in "–—-" else i for i in paused}
+                held[lang, "p"].update([tokens[i] for i in paused])
+                held[lang, "k"].update([t for i, t in enumerate(tokens) if i and t[0].isupper() and i not in paused])
+            if n > 1_000_000:
                 yield _batch(held)
                 held.clear()
+                n = 0
         if held:
             yield _batch(held)
 
