@@ -28,7 +28,7 @@ from sediment.llm import boost
 from sediment.llm.language import NOTE, Model, batched, sentences, train
 from sediment.runtime import cut, spread
 
-#: Transcripts that the boundary trees are fitted on, the first in order of a hash of the content; and the most characters of one.
+#: Transcripts that the boundary trees are fitted on, about, drawn by a hash of the content; and the most characters of one.
 SAMPLE, SAMPLE_CHARS = 1_500, 100_000
 #: Least share of a language's spoken tokens that a form must have to be a hesitation sound; so at most the inverse number of forms a
 #: language is looked at. And the most letters of one.
@@ -496,7 +496,11 @@ def fit(df: DataFrame, keys: list[str], content: str, label: str, kind: str, spo
     """Everything that is learnt: the language model, hesitation sounds by counts of all rows, boundary trees on a bounded sample."""
     language = train(df, content, label, kind)
     fillers, written = _fillers(cut(_form_counts(df, content, kind, spoken, language)))
-    some = df.filter((F.col(kind) == spoken) & (F.length(content) <= SAMPLE_CHARS)).orderBy(F.xxhash64(content), content).limit(sample).select(content).collect()
+    talks = df.filter(F.col(kind) == spoken)
+    # about `sample` contents by a threshold of their hash, equal ones once, so that copies of one transcript don't fill the sample
+    most = 1 << 30
+    edge = min(most, most * sample // max(1, talks.count()) + 1)
+    some = sorted(talks.filter((F.pmod(F.xxhash64(content), F.lit(most)) < edge) & (F.length(content) <= SAMPLE_CHARS)).select(content).distinct().collect())
     xs: list[tuple] = []
     ys: list[int] = []
     for (text,) in some:
