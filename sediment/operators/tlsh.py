@@ -6,6 +6,7 @@ Digests are hex texts with or without a T1 mark: checksum, length and quartile b
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,14 +107,14 @@ def probes(body: Column, level: int = 0) -> Column:
     return run(body)
 
 
-def nearest(queries: DataFrame, queries_key: str, items: DataFrame, items_key: str, digest: str, n: int = 10, level: int = 1, most: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, queries_key: str, items: DataFrame, items_key: str, digest: str, n: int = 10, level: int = 1, most: int | None = None, ask_digest: str | None = None) -> DataFrame:
     """(query, item, distance): each query's n nearest items among those that share a band, ties by key, itself left out.
 
     Equal digests are one row until the end; candidates meet in an equi-join on band keys. most: largest distance.
     """
     d = items.select(F.col(items_key).alias("item"), body_of(F.col(digest)).alias("body")).filter("body is not null")
     once = d.select("body").distinct()
-    q = queries.select(F.col(queries_key).alias("query"), body_of(F.col(digest)).alias("qbody")).filter("qbody is not null")
+    q = queries.select(F.col(queries_key).alias("query"), body_of(F.col(ask_digest or digest)).alias("qbody")).filter("qbody is not null")
     asked = q.select("qbody").distinct()
     index = once.select("body", F.explode(bands(F.col("body"))).alias("band"))
     pairs = asked.select("qbody", F.explode(probes(F.col("qbody"), level)).alias("band")).join(index, "band").select("qbody", "body").distinct()
@@ -182,13 +183,13 @@ class _Nearest:
         self.who, self.far, self.body = who[keep], far[keep], body[keep]
 
 
-def nearest_exact(queries: DataFrame, queries_key: str, items: DataFrame, items_key: str, digest: str, n: int = 10, block: int = 2_000_000) -> DataFrame:
+def nearest_exact(queries: DataFrame, queries_key: str, items: DataFrame, items_key: str, digest: str, n: int = 10, block: int = 2_000_000, ask_digest: str | None = None) -> DataFrame:
     """As nearest, against all items: each task keeps the best of its own items for a block of the queries.
 
     The queries' distinct digests go to the tasks in blocks of about `block` bytes, one pass over the items for each; the work is queries times items.
     """
     d = items.select(F.col(items_key).alias("item"), body_of(F.col(digest)).alias("body")).filter("body is not null")
-    q = queries.select(F.col(queries_key).alias("query"), body_of(F.col(digest)).alias("qbody")).filter("qbody is not null")
+    q = queries.select(F.col(queries_key).alias("query"), body_of(F.col(ask_digest or digest)).alias("qbody")).filter("qbody is not null")
     asked = cut(q.select("qbody").distinct())
     blocks = max(1, -(-asked.count() * 35 // block))
     once = d.select("body").distinct()
@@ -218,6 +219,33 @@ def nearest_exact(queries: DataFrame, queries_key: str, items: DataFrame, items_
     return _top(scored, q, d, n)
 
 
+def similar(files: DataFrame, query: str, n: int = 20, mode: str = "exact", path: str = "path", sha256: str = "sha256", digest: str = "tlsh") -> DataFrame:
+    """(path, sha256, distance) of the n files nearest to a digest text, a path or a SHA-256 in hex, nearest first, ties by path.
+
+    A path or content isn't similar to itself. mode: exact compares with all, near looks at digests that share a band or one a step off.
+    A path or digest that isn't there gives no rows.
+    """
+    hexed = F.lower(F.hex(sha256)) if dict(files.dtypes)[sha256] == "binary" else F.lower(F.col(sha256))
+    rows = files.select(F.col(path).alias("path"), hexed.alias("sha256"), F.col(digest).alias("tlsh"))
+    if re.fullmatch("(?:T1)?[0-9A-Fa-f]{70}", query.strip()):
+        asked = [query.strip()]
+        rest = rows
+    else:
+        mine = F.col("sha256") == query.lower() if re.fullmatch("[0-9A-Fa-f]{64}", query) else F.col("path") == query
+        asked = [r[0] for r in rows.filter(mine & F.col("tlsh").isNotNull()).select("tlsh").distinct().limit(1).collect()]
+        rest = rows.filter(~F.coalesce(mine, F.lit(False)))
+    ask = files.sparkSession.createDataFrame([("\0query", x) for x in asked], "q string, d string")
+    keyed = rest.groupBy("path", "sha256").agg(F.min("tlsh").alias("tlsh")).withColumn("k", F.concat_ws("\0", "path", "sha256"))
+    if mode == "exact":
+        found = nearest_exact(ask, "q", keyed, "k", "tlsh", n, ask_digest="d")
+    elif mode == "near":
+        found = nearest(ask, "q", keyed, "k", "tlsh", n, 1, ask_digest="d")
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    parts = F.split("item", "\0")
+    return found.select(F.get(parts, 0).alias("path"), F.get(parts, 1).alias("sha256"), "distance").orderBy("distance", "path")
+
+
 def _top(scored: DataFrame, q: DataFrame, d: DataFrame, n: int) -> DataFrame:
     from pyspark.sql.window import Window
 
@@ -228,15 +256,57 @@ def _top(scored: DataFrame, q: DataFrame, d: DataFrame, n: int) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "item"))).filter(F.col("r") <= n).select("query", "item", "distance")
 
 
+def permutation_of(path: str) -> np.ndarray:
+    """A permutation of the bytes from a file of 256 numbers, such as the format's public one, parted by anything."""
+    with open(path, encoding="ascii") as f:
+        out = np.array(re.findall(r"\d+", f.read()), int)
+    if sorted(out.tolist()) != list(range(256)):
+        raise ValueError(f"{path} holds no permutation of 256 bytes")
+    return out.astype(np.uint8)
+
+
 def default_permutation() -> np.ndarray:
-    """A permutation of the bytes from a rule: ranked by SHA-256. Standard digests need the public permutation as a parameter."""
+    """A permutation of the bytes from a rule: ranked by SHA-256. Standard digests need the public permutation (permutation_of)."""
     return np.argsort([hashlib.sha256(bytes([i])).digest()[:8] for i in range(256)]).astype(np.uint8)
 
 
-def digest_bytes(data: bytes, permutation: np.ndarray) -> str | None:
+#: Texts up to this length have their checksums worked out side by side, byte by byte.
+SIDE_BY_SIDE = 65_536
+
+
+def checksums(texts: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """The checksum byte of each text of at least five bytes: a chain over its bytes, each step for all texts at once."""
+    out = np.zeros(len(texts), np.uint8)
+    steps = [p[p[p[0] ^ x[4:]] ^ x[3:-1]] for x in texts]
+    order = sorted(range(len(texts)), key=lambda i: -len(steps[i]))
+    long = [i for i in order if len(steps[i]) > SIDE_BY_SIDE]
+    for i in long:
+        check, table = 0, p.tolist()
+        for k in steps[i].tolist():
+            check = table[k ^ check]
+        out[i] = check
+    rest = order[len(long) :]
+    if rest:
+        sizes = np.array([len(steps[i]) for i in rest])
+        check = np.zeros(len(rest), np.uint8)
+        # blocks of positions, so that padding stays small
+        for at in range(0, int(sizes[0]), 512):
+            live = int(np.searchsorted(-sizes, -at, side="left"))
+            block = np.zeros((512, live), np.uint8)
+            for j in range(live):
+                part = steps[rest[j]][at : at + 512]
+                block[: len(part), j] = part
+            for k in range(min(512, int(sizes[0]) - at)):
+                n = int(np.searchsorted(-sizes, -(at + k), side="left"))
+                check[:n] = p[block[k, :n] ^ check[:n]]
+        out[rest] = check
+    return out
+
+
+def digest_bytes(data: bytes | None, permutation: np.ndarray, check: int | None = None) -> str | None:
     """Digest of bytes: windows of five, six triplets a window into 128 buckets, quartiles, two bits a bucket.
 
-    None under 50 bytes, where the third quartile is 0, and where at most half of the buckets are filled.
+    None under 50 bytes, where the third quartile is 0, and where at most half of the buckets are filled. check: its checksum, if known.
     """
     if data is None or len(data) < 50:
         return None
@@ -246,9 +316,7 @@ def digest_bytes(data: bytes, permutation: np.ndarray) -> str | None:
     buckets = np.zeros(256, np.int64)
     for salt, i, j in ((2, 1, 2), (3, 1, 3), (5, 2, 3), (7, 2, 4), (11, 1, 4), (13, 3, 4)):  # fixed values of the format
         buckets += np.bincount(p[p[p[p[salt] ^ w[0]] ^ w[i]] ^ w[j]], minlength=256)
-    check = 0
-    for a, b in zip(w[0].tolist(), w[1].tolist(), strict=True):
-        check = int(p[p[p[a] ^ b] ^ check])
+    check = int(checksums([x], p)[0]) if check is None else check
     b = buckets[:128]
     if (b > 0).sum() <= 64:
         return None
@@ -269,6 +337,9 @@ def digest_udf(permutation: np.ndarray | None = None):
 
     @F.pandas_udf(T.StringType())
     def run(xs: pd.Series) -> pd.Series:
-        return xs.map(lambda t: digest_bytes(t.encode() if isinstance(t, str) else t, p), na_action="ignore")
+        data = [None if t is None else t.encode() if isinstance(t, str) else bytes(t) for t in xs]
+        held = [i for i, t in enumerate(data) if t is not None and len(t) >= 50]
+        known = dict(zip(held, checksums([np.frombuffer(data[i], np.uint8) for i in held], p).tolist(), strict=True)) if held else {}
+        return pd.Series([digest_bytes(t, p, known.get(i)) for i, t in enumerate(data)], dtype=object)
 
     return run

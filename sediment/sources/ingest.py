@@ -42,7 +42,7 @@ def parse_syslog(lines: DataFrame, column: str = "value", year: int = 1970) -> D
     pick = lambda a, b: F.when(is_new, n(a)).otherwise(o(b))
     pri = pick(1, 1).cast("int")
     names = lambda values, at: F.try_element_at(F.array(*[F.lit(v) for v in values]), at + 1)
-    old_ts = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(o(2), "  ", " 0")), F.lit("yyyy MMM dd HH:mm:ss"))
+    old_ts = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(o(2), "  ", " 0"), F.lit("Z")), F.lit("yyyy MMM dd HH:mm:ssX"))
     return lines.filter(is_new | x.rlike(old)).select(
         F.when(is_new, n(2).try_cast("timestamp")).otherwise(old_ts).alias("ts"), pick(3, 3).alias("host"), pick(4, 4).alias("app"), pick(5, 5).alias("pid"),
         names(LEVELS, F.pmod(pri, F.lit(8))).alias("level"), F.call_function("div", pri, F.lit(8)).cast("int").alias("facility"),
@@ -138,8 +138,21 @@ def database_tables(path: str) -> list[str]:
 
 
 def archive_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, size, packed, mtime, sha256) of the members of zip and tar files, plain or compressed; broken ones give no rows."""
+    """(archive, path, size, packed, mtime, sha256) of the members of zip and tar files, plain or compressed, and of gz, bz2 and xz files
+    of one member, named without the ending; broken ones give no rows."""
+    import bz2
+    import gzip
     import hashlib
+    import lzma
+
+    alone = {b"\x1f\x8b": gzip.decompress, b"BZ": bz2.decompress, b"\xfd7": lzma.decompress}
+
+    def plain(content: bytes) -> bool:
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content)):
+                return False
+        except tarfile.TarError:
+            return content[:2] in alone
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,10 +162,13 @@ def archive_listing(spark: SparkSession, path: str) -> DataFrame:
                     if zipfile.is_zipfile(io.BytesIO(content)):
                         with zipfile.ZipFile(io.BytesIO(content)) as z:
                             rows = [(name, i.filename, i.file_size, i.compress_size, pd.Timestamp(*i.date_time), hashlib.sha256(z.read(i)).digest()) for i in z.infolist() if not i.is_dir()]
+                    elif plain(content):
+                        data = alone[content[:2]](content)
+                        rows = [(name, name.rsplit("/", 1)[-1].rsplit(".", 1)[0], len(data), len(content), None, hashlib.sha256(data).digest())]
                     else:
                         with tarfile.open(fileobj=io.BytesIO(content)) as t:
                             rows = [(name, m.name, m.size, m.size, pd.Timestamp(m.mtime, unit="s"), hashlib.sha256(t.extractfile(m).read()).digest()) for m in t if m.isfile()]
-                except (tarfile.TarError, zipfile.BadZipFile, ValueError, EOFError):
+                except (tarfile.TarError, zipfile.BadZipFile, ValueError, EOFError, OSError, lzma.LZMAError):
                     continue
                 if rows:
                     yield pd.DataFrame(rows, columns=["archive", "path", "size", "packed", "mtime", "sha256"])

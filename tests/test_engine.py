@@ -375,6 +375,46 @@ def test_tlsh(spark):
     assert df.select(tlsh.distance(F.col("t"), F.col("t")).alias("d")).filter("d <> 0").count() == 0
 
 
+def test_tlsh_checksums_and_similar(spark, tmp_path):
+    rnd = np.random.default_rng(6)
+    p = tlsh.default_permutation()
+    texts = [rnd.integers(0, 256, n).astype(np.uint8) for n in (5, 700, 50, 513, 1024, 50, 70_000)]
+    want = []
+    for x in texts:
+        check = 0
+        for i in range(4, len(x)):
+            check = p[p[p[p[0] ^ x[i]] ^ x[i - 1]] ^ check]
+        want.append(int(check))
+    assert tlsh.checksums(texts, p).tolist() == want
+    data = [(i, x.tobytes()) for i, x in enumerate(texts)] + [(90, None), (91, b"")]
+    df = spark.createDataFrame([(i, None if d is None else bytearray(d)) for i, d in data], "id int, d binary").select("id", tlsh.digest_udf()(F.col("d")).alias("t"))
+    assert {r.id: r.t for r in df.collect()} == {i: tlsh.digest_bytes(d, p) for i, d in data}
+    np.savetxt(tmp_path / "p.txt", p, fmt="%d")
+    assert (tlsh.permutation_of(str(tmp_path / "p.txt")) == p).all()
+    bodies = [bytes(rnd.integers(0, 256, 35).astype(np.uint8)) for _ in range(60)]
+    bodies[1] = bodies[0][:-1] + bytes([bodies[0][-1] ^ 1])
+    files = spark.createDataFrame([(f"f{i}", bytearray([i] * 32), "T1" + b.hex().upper(), "x") for i, b in enumerate(bodies)] + [("none", bytearray(b"z" * 32), None, "x")], "path string, sha256 binary, tlsh string, item string")
+    for mode in ("exact", "near"):
+        for q in ("f0", bytes([0] * 32).hex()):
+            assert tlsh.similar(files, q, 1, mode).first().path == "f1", (mode, q)
+    assert tlsh.similar(files, bodies[0].hex(), 2).first().path == "f0" and tlsh.similar(files, "f0", 200).count() == 59
+    assert tlsh.similar(files, "nope", 5).count() == 0 and tlsh.similar(files, "none", 5).count() == 0
+
+
+def test_tlsh_recall_of_bands(spark):
+    """Near copies are found by the bands: 200 planted pairs with up to three of their buckets a step off."""
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 256, (200, 35)).astype(np.uint8)
+    near = base.copy()
+    for row in near:
+        for at in rnd.choice(np.arange(3, 35), 3, replace=False):
+            row[at] ^= 1 << (2 * int(rnd.integers(0, 4)))
+    rows = [(i, "T1" + b.tobytes().hex().upper()) for i, b in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame(rows, "id int, t string")
+    found = {(r.query, r.item) for r in tlsh.nearest(df.filter("id < 200"), "id", df, "id", "t", 1).collect()}
+    assert len({(i, i + 200) for i in range(200)} & found) >= 0.98 * 200
+
+
 def test_tlsh_nearest_of_all(spark, tmp_path):
     from sediment.plans import reference
 
@@ -416,7 +456,16 @@ def test_ingest_export(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("m/one.txt", "hello")
     (tmp_path / "bad.zip").write_bytes(b"not an archive")
-    assert [(r.path, r.size) for r in ingest.archive_listing(spark, str(tmp_path / "*.zip")).collect()] == [("m/one.txt", 5)]
+    import bz2
+    import gzip
+    import lzma
+
+    for name, pack in (("x.txt.gz", gzip.compress), ("y.txt.bz2", bz2.compress), ("z.txt.xz", lzma.compress)):
+        (tmp_path / name).write_bytes(pack(b"alone"))
+    (tmp_path / "broken.gz").write_bytes(gzip.compress(b"alone")[:-6])
+    got = {(r.path, r.size) for r in ingest.archive_listing(spark, str(tmp_path / "*.{zip,gz,bz2,xz}")).collect()}
+    assert got == {("m/one.txt", 5), ("x.txt", 5), ("y.txt", 5), ("z.txt", 5)}
+    assert str(ingest.parse_syslog(lines, year=2024).filter("host = 'host'").select(F.unix_seconds("ts")).first()[0]) == "1707154338"
 
 
 def test_entry_without_llm(spark):
