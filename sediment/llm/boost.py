@@ -29,8 +29,26 @@ class Trees:
         return 1 / (1 + np.exp(-self.raw(np.asarray(x, float)))) if len(x) else np.zeros(0)
 
 
+#: Most of a leaf's step before the rate. Where a class is rare its rows' curvature is next to none, so a whole step would overshoot by far
+#: and the next trees swing back.
+STEP = 4.0
+
+
+def _edges(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int) -> np.ndarray:
+    """Where a feature is cut: at the quantiles of each class by weight and just below its least, so that a class of few rows doesn't
+    share a bin with the other's, however many these are."""
+    out = []
+    for c in (0, 1):
+        order = np.argsort(x[y == c])
+        v, mass = x[y == c][order], w[y == c][order].cumsum()
+        at = np.searchsorted(mass, np.linspace(0, 1, bins + 1)[1:-1] * mass[-1])
+        out += [v[at], [np.nextafter(v[0], -np.inf), v[-1]]]
+    return np.unique(np.concatenate(out))
+
+
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0, weight: np.ndarray | None = None) -> Trees:
-    """Trees fitted to the rows of x with labels y of 0 and 1, each as often as its weight says. One class only, or no rows: a constant."""
+    """Trees fitted to the rows of x with labels y of 0 and 1, each as often as its weight says; with weights, each class has bins of its own.
+    One class only, or no rows: a constant."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
     x, y, w = x[w > 0], y[w > 0], w[w > 0]
@@ -38,7 +56,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
     model = Trees(float(np.log(share / (1 - share))), depth)
     if not len(y) or y.min() == y.max():
         return model
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    edges = [np.unique(np.quantile(v, np.linspace(0, 1, bins + 1)[1:-1])) if weight is None else _edges(v, y, w, bins) for v in x.T]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
     raw = np.full(len(y), model.base)
     inner = 2**depth - 1
@@ -65,7 +83,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
         leaves = np.zeros(2**depth)
         index = node - inner
         sg, sh = np.bincount(index, g, 2**depth), np.bincount(index, h, 2**depth)
-        leaves = -rate * sg / (sh + ridge)
+        leaves = -rate * np.clip(sg / (sh + ridge), -STEP, STEP)
         raw += leaves[index]
         model.trees.append((features, cuts, leaves))
     return model

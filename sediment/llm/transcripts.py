@@ -33,6 +33,8 @@ SAMPLE, SAMPLE_CHARS = 1_500, 100_000
 #: Least share of a language's spoken tokens that a form must have to be a hesitation sound; so at most the inverse number of forms a
 #: language is looked at. And the most letters of one.
 FORM_SHARE, FORM_LETTERS = 1e-5, 7
+#: Most weight that a form's tokens have for or against; the side with fewer tokens keeps its part, so more data don't make both alike.
+FORM_WEIGHT = 50
 #: Tokens whose form a worker keeps.
 KEEP = 200_000
 
@@ -321,7 +323,7 @@ class Fitted:
     language: Model
     #: Language -> forms that are hesitation sounds.
     fillers: dict[str, set[str]]
-    #: (language, form) of those forms of any language that its written texts hold.
+    #: (language, form) of those forms of any language that its written texts hold, beyond a stray one.
     written: set[tuple[str, str]]
     boundary: boost.Trees
 
@@ -416,7 +418,7 @@ def speech(text: str) -> list[str]:
 
 def _form_counts(df: DataFrame, content: str, kind: str, spoken: str, model: Model) -> DataFrame:
     """(lang, form, a, b, p, k): counts of short forms in transcripts and in other texts, in transcripts beside a pause, and there with a capital
-    inside a sentence; form '' counts all tokens. Over all rows, counted per batch before the shuffle."""
+    inside a sentence; form '' counts all tokens (not k). Over all rows, counted per batch before the shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(F.col(content).cast("string").alias("c"), F.col(kind).alias("k")).filter("c is not null")
     rows = spread(rows)
@@ -426,7 +428,7 @@ def _form_counts(df: DataFrame, content: str, kind: str, spoken: str, model: Mod
         held: Counter = Counter()
         for (lang, what), counter in tokens.items():
             for t, c in counter.items():
-                if what in "ab":
+                if what in "abp":
                     held[lang, "", what] += c
                 if form := form_of(t):
                     held[lang, form, what] += c
@@ -465,30 +467,36 @@ def _fillers(counted: DataFrame) -> tuple[dict[str, set[str]], set[tuple[str, st
     """The hesitation sounds of each language, and those of any language that a language's written texts hold.
 
     Trees are fitted on tokens: beside a pause they count for, in written texts or with a capital inside a sentence against. The features tell
-    how much commoner a form is in speech, how common, how long and of how many letters; a sound must have stood beside a pause.
+    how much commoner a form is in speech, how common, how long and of how many letters; a sound must stand beside a pause more often
+    than the language's tokens do on average, as with enough data every word has stood there once. All is told by shares of the counts,
+    so that the same sounds are found whatever the size.
     """
-    totals = {r["lang"]: (r["a"], r["b"]) for r in counted.filter("form = ''").collect()}
+    totals = {r["lang"]: (r["a"], r["b"], r["p"]) for r in counted.filter("form = ''").collect()}
     if not totals:
         return {}, set()
-    least = F.create_map(*[F.lit(x) for lang, (a, _) in totals.items() for x in (lang, float(a) * FORM_SHARE)])
+    least = F.create_map(*[F.lit(x) for lang, (a, _, _) in totals.items() for x in (lang, float(a) * FORM_SHARE)])
     held = counted.filter("form <> '' and a > 0").filter(F.col("a") >= F.try_element_at(least, F.col("lang"))).collect()  # at most 1 / FORM_SHARE a language
     if not held:
         return {}, set()
 
     def features(r) -> tuple[float, ...]:
-        a, b = totals[r["lang"]]
+        a, b, _ = totals[r["lang"]]
         here, there = (r["a"] + 0.5) / (a + 100), (r["b"] + 0.5) / (b + 100)
         return math.log(here / there), math.log(here), len(r["form"]), len(set(r["form"]))
 
     x = np.array([features(r) for r in held], float)
-    yes, no = np.array([min(r["p"], 50) for r in held], float), np.array([min(r["b"] + r["k"], 50) for r in held], float)
+    paused = np.array([r["p"] * totals[r["lang"]][0] > r["a"] * totals[r["lang"]][2] for r in held])
+    yes, no = np.array([r["p"] for r in held], float) * paused, np.array([r["b"] + r["k"] for r in held], float)
+    scale = FORM_WEIGHT / np.maximum(FORM_WEIGHT, np.maximum(yes, no))
+    yes, no = yes * scale, no * scale
     trees = boost.fit(np.vstack([x, x]), np.concatenate([np.ones(len(x)), np.zeros(len(x))]), weight=np.concatenate([yes, no]))
     fillers: dict[str, set[str]] = {}
-    for r, p in zip(held, trees.probability(x), strict=True):
-        if p > 0.5 and r["p"]:
+    for r, p, ok in zip(held, trees.probability(x), paused, strict=True):
+        if p > 0.5 and ok:
             fillers.setdefault(r["lang"], set()).add(r["form"])
     every = sorted(set().union(*fillers.values()))
-    written = {(r["lang"], r["form"]) for r in counted.filter(F.col("form").isin(every) & (F.col("b") > 0)).collect()} if every else set()
+    found = counted.filter(F.col("form").isin(every) & (F.col("b") > 0)).collect() if every else []
+    written = {(r["lang"], r["form"]) for r in found if r["b"] >= totals[r["lang"]][1] * FORM_SHARE}
     return fillers, written
 
 

@@ -85,6 +85,37 @@ def test_transcript_turns(spark):
     assert transcripts.turns(df.filter(F.lit(False)), ["sha256", "n"], "content", "language", "kind").count() == 0
 
 
+def test_hesitation_sounds_of_more_data(spark):
+    # the same shares must tell the same sounds, however much there is: some sounds begin with a capital, any word may once stand beside
+    # a pause, some words are only spoken; the many rare names must not hide the few sounds
+    rnd = random.Random(4)
+    sounds = {"en": {"um", "uh", "erm"}, "de": {"öh", "ähm"}}
+    words = [(lang, "".join(rnd.sample("abcdefghijklmnoprst", rnd.randrange(2, 7)))) for lang in sounds for _ in range(1500)]
+    for times in (1, 10, 1000):
+        rows = {(lang, f): (1600 * times, 0, 570 * times, 30 * times) for lang, fs in sounds.items() for f in fs}
+        for i, (lang, w) in enumerate(words):
+            a = (60 if i % 50 else 500) * times
+            rows.setdefault((lang, w), (a, 0 if i % 50 == 1 else a, a // 5000, 0 if i % 50 < 2 else a // 3))
+        for lang in sounds:
+            rows[lang, ""] = (*(sum(v[j] for k, v in rows.items() if k[0] == lang) for j in range(3)), 0)
+        # one written sentence in millions taken for the other language
+        rows["de", "um"] = (800 * times, 800 * times, 0, 0)
+        rows["en", "ähm"] = (0, times // 1000, 0, 0)
+        counted = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "lang string, form string, a bigint, b bigint, p bigint, k bigint")
+        fillers, written = transcripts._fillers(counted)
+        assert fillers == sounds and written == {("de", "um")}
+
+
+def test_trees_of_a_rare_class():
+    # a class of few rows, far likelier by weight than its neighbours, is found beside many rows of the other
+    rnd = np.random.default_rng(7)
+    for n in (500, 5_000, 50_000):
+        x = np.concatenate([rnd.normal(0, 1, n), np.full(20, 8.0) + rnd.random(20)])[:, None]
+        y = np.arange(len(x)) >= n
+        said = boost.fit(x, y, weight=np.full(len(x), 50.0)).probability(x) > 0.5
+        assert (said == y).all()
+
+
 def test_people_and_boundaries():
     # a shortened name goes to the person one of whose forms it fits exactly, not to one a letter away
     assert len(set(transcripts.persons(["Dr. Rador", "Jorlo Sador", "Yor Raodr", "Y. Rador"])[i] for i in (0, 2, 3))) == 1
