@@ -43,6 +43,8 @@ _SECONDS = r"\d+(?:\.\d+)?s"
 _AT = rf"(?:{_CLOCK}|{_SECONDS})"
 _CUE = re.compile(rf"^\s*({_CLOCK})\s*-->\s*{_CLOCK}")
 _ALONE = re.compile(rf"^\s*[\[(]?({_AT})[\])]?\s*$")
+#: A time without brackets before a sound note.
+_NOTED = re.compile(rf"^\s*({_AT})\s+(?=[\[(*♪<])")
 _LEAD = re.compile(rf"^\s*(?:[\[(<]({_AT})[\])>]\s*|({_AT})\s+-\s+)")
 _VOICE = re.compile(r"^\s*<v(?:\.[^ >]*)?\s+([^>]+)>\s*")
 _INDEX = re.compile(r"^\s*\d+\s*$")
@@ -100,7 +102,7 @@ def parse(content: str) -> list[Segment]:
             continue
         if _INDEX.match(line) and i + 1 < len(lines) and _CUE.match(lines[i + 1]):
             continue
-        if m := _ALONE.match(line):
+        if (m := _ALONE.match(line)) or ((m := _NOTED.match(line)) and not NOTE.sub(" ", line[m.end() :]).strip()):
             time, fresh = seconds(m[1]), True
             continue
         label, dashed = None, False

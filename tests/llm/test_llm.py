@@ -106,6 +106,13 @@ def test_hesitation_sounds_of_more_data(spark):
         assert fillers == sounds and written == {("de", "um")}
 
 
+def test_transcript_time_beside_a_note():
+    # a time without brackets is no word where only sound notes stand beside it; before speech it is left as it stands
+    assert transcripts.parse("00:00:00 (music)") == []
+    assert [(s.time, s.label, s.text) for s in transcripts.parse("Ann: one\n00:07 [door closes] ♪ la ♪\ntwo")] == [(-1.0, "Ann", "one"), (7.0, None, "two")]
+    assert [s.text for s in transcripts.parse("Ann: we met at\n10:30 (sharp) at the gate")] == ["we met at\n10:30 (sharp) at the gate"]
+
+
 def test_trees_of_a_rare_class():
     # a class of few rows, far likelier by weight than its neighbours, is found beside many rows of the other
     rnd = np.random.default_rng(7)
